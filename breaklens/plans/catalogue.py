@@ -1,6 +1,7 @@
 """All registered queries: importing a plans module registers its queries."""
 
 from breaklens.plans import (  # noqa: F401
+    evaluation,
     preprocessing,
     sampling,
     scalars,
