@@ -1,9 +1,11 @@
 """All registered queries: importing a plans module registers its queries."""
 
 from breaklens.plans import (  # noqa: F401
+    association,
     evaluation,
     preprocessing,
     sampling,
     scalars,
+    statistics,
 )
 from breaklens.plans.registry import ORACLE, QUERIES  # noqa: F401
