@@ -3,9 +3,12 @@
 from breaklens.plans import (  # noqa: F401
     association,
     evaluation,
+    graphs,
+    joining,
     preprocessing,
     sampling,
     scalars,
     statistics,
+    timeline,
 )
 from breaklens.plans.registry import ORACLE, QUERIES  # noqa: F401
