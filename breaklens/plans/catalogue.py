@@ -5,6 +5,7 @@ from breaklens.plans import (  # noqa: F401
     evaluation,
     graphs,
     joining,
+    modeling,
     monitoring,
     preprocessing,
     sampling,
