@@ -210,7 +210,8 @@ def tree_rules(
         if not total or leaf.count < min_samples:
             continue
         for c in classes:
-            conf = leaf.stats[c] / total
+            # a tree fitted on one class only has no counts for the other
+            conf = leaf.stats[c] / total if c < len(leaf.stats) else 0.0
             if conf >= min_confidence:
                 out.append(Rule(leaf.conditions, c, conf, leaf.count, None, method, f"{method}_{leaf.index}"))
     return sorted(out, key=lambda r: (-r.confidence * r.support, r.name))

@@ -8,6 +8,7 @@ from breaklens.plans import (  # noqa: F401
     modeling,
     monitoring,
     preprocessing,
+    rulesets,
     sampling,
     scalars,
     statistics,
