@@ -38,26 +38,31 @@ def _subsets(items: Column) -> Column:
 
 
 def association_rules(
-    itemsets: DataFrame, min_confidence: float = 0.5, min_lift: float = 1.0, consequent_has: str | None = None
+    itemsets: DataFrame,
+    min_confidence: float = 0.5,
+    min_lift: float = 1.0,
+    consequent_has: str | None = None,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rules for all splits of each itemset into antecedent and consequent.
+    """Rules for all splits of each itemset into antecedent and consequent, within each `by` group.
 
     Both parts of a frequent itemset are frequent, so two equi-joins to the itemsets give all measures.
     """
     splits = itemsets.filter(F.size("itemset") > 1).select(
-        "itemset", F.col("support"), F.col("n"), F.explode(_subsets(F.col("itemset"))).alias("antecedents")
+        *by, "itemset", F.col("support"), F.col("n"), F.explode(_subsets(F.col("itemset"))).alias("antecedents")
     )
     splits = splits.withColumn("consequents", F.sort_array(F.array_except("itemset", "antecedents")))
     if consequent_has:
         splits = splits.filter(F.array_contains("consequents", consequent_has))
-    ante = itemsets.select(F.col("itemset").alias("antecedents"), F.col("support").alias("antecedent_support"))
-    cons = itemsets.select(F.col("itemset").alias("consequents"), F.col("support").alias("consequent_support"))
+    ante = itemsets.select(*by, F.col("itemset").alias("antecedents"), F.col("support").alias("antecedent_support"))
+    cons = itemsets.select(*by, F.col("itemset").alias("consequents"), F.col("support").alias("consequent_support"))
     s, sa, sc = F.col("support"), F.col("antecedent_support"), F.col("consequent_support")
-    rules = splits.join(ante, "antecedents").join(cons, "consequents")
+    rules = splits.join(ante, [*by, "antecedents"]).join(cons, [*by, "consequents"])
     rules = rules.withColumn("confidence", s / sa).withColumn("lift", s / sa / sc)
     # the tolerance keeps rules that sit exactly on the threshold in exact arithmetic
     rules = rules.filter((F.col("confidence") >= min_confidence - 1e-12) & (F.col("lift") >= min_lift - 1e-12))
     return rules.select(
+        *by,
         "antecedents",
         "consequents",
         "antecedent_support",
@@ -97,17 +102,40 @@ def top_break_predictors(rules: DataFrame, top_n: int = 10) -> DataFrame:
     )
 
 
+def fold_itemsets(baskets: DataFrame, fold: str, k: int, min_support: float) -> DataFrame:
+    """Frequent itemsets of every training part (all rows but one fold), from one mining run.
+
+    An itemset that reaches the support in some training part has at least the count of the
+    smallest part in the whole data, so the whole is mined once with that lower bound. The counts
+    per fold then come from the distinct baskets, and a training count is the total minus the fold.
+    """
+    basket_counts = baskets.groupBy("items", fold).agg(F.count("*").alias("n"))
+    sizes = basket_counts.groupBy(fold).agg(F.sum("n").alias("fold_rows"))
+    n, largest = sizes.agg(F.sum("fold_rows"), F.max("fold_rows")).first()
+    # a little lower still, so that rounding inside the miner cannot lose a candidate
+    bound = max((min_support * (n - largest) - 1) / n, 1e-9)
+    cand = frequent_itemsets(baskets.select("items"), bound).select("itemset", F.col("n").alias("n_all"))
+    keyed = cand.select("itemset", F.get("itemset", F.lit(0)).alias("_item"))
+    held = (
+        basket_counts.select("*", F.explode("items").alias("_item"))
+        .join(keyed, "_item")
+        .filter(F.size(F.array_except("itemset", "items")) == 0)
+        .groupBy("itemset", fold)
+        .agg(F.sum("n").alias("n_fold"))
+    )
+    grid = cand.withColumn(fold, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))))
+    part = grid.join(held, ["itemset", fold], "left").join(sizes, fold)
+    train = F.col("n_all") - F.coalesce("n_fold", F.lit(0))
+    out = part.select(fold, "itemset", train.alias("n"), (train / (F.lit(n).cast("double") - F.col("fold_rows"))).alias("support"))
+    return out.filter(F.col("support") >= min_support - 1e-12)
+
+
 def rule_stability(
     baskets: DataFrame, fold: str, k: int = 5, min_support: float = 0.01, min_confidence: float = 0.5
 ) -> DataFrame:
-    """Mine break rules on the training part of each fold; folds present and spread of the confidence per rule."""
-    mined = None
-    for f in range(k):
-        sets = frequent_itemsets(baskets.filter(F.col(fold) != f), min_support)
-        r = break_rules(association_rules(sets, min_confidence)).select(
-            "antecedents", "consequents", "confidence", "lift", F.lit(f).alias("fold_id")
-        )
-        mined = r if mined is None else mined.unionByName(r)
+    """Break rules of the training part of each fold; folds present and spread of the confidence per rule."""
+    sets = fold_itemsets(baskets, fold, k, min_support)
+    mined = break_rules(association_rules(sets, min_confidence, by=(fold,)))
     return mined.groupBy("antecedents", "consequents").agg(
         F.count("*").alias("folds"),
         F.avg("confidence").alias("mean_confidence"),

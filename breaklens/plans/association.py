@@ -31,11 +31,14 @@ _BASKET = [(f"{c}=1", f"{c}_changed") for c in FLAGS] + [
 
 
 def rules_sql(base: str, src: str, items: list[tuple[str, str]], min_support: float, min_conf: float, min_lift: float) -> str:
-    """Itemsets and rules by enumerating bit masks over all items: nothing is pruned on the way."""
-    items = sorted(items, key=lambda t: t[1])
+    """Itemsets and rules by enumerating bit masks over all items: nothing is pruned on the way.
+
+    Items are (condition, name expression or plain name).
+    """
     mask = " + ".join(f"CASE WHEN {cond} THEN {1 << i} ELSE 0 END" for i, (cond, _) in enumerate(items))
-    names = "[" + ", ".join(f"'{item}'" for _, item in items) + "]"
-    listing = f"list_filter({names}, lambda x, i: ({{m}} >> (i-1)) & 1 = 1)"
+    names = "[" + ", ".join(item if item.startswith("printf(") else f"'{item}'" for _, item in items) + "]"
+    base = f"{base}, item_names AS (SELECT {names} AS l)"
+    listing = "list_sort(list_filter((SELECT l FROM item_names), lambda x, i: ({m} >> (i-1)) & 1 = 1))"
     return f"""{base}, m AS (SELECT {mask} AS mask, count(*) AS n FROM {src} GROUP BY 1), tot AS (SELECT sum(n)::DOUBLE AS t FROM m),
       sets AS (SELECT k, sum(n)::BIGINT AS n, sum(n)/(SELECT t FROM tot) AS support FROM m JOIN range(1, {1 << len(items)}) r(k) ON (mask & k) = k
                GROUP BY k HAVING sum(n) >= {min_support}::DOUBLE * (SELECT t FROM tot)),
@@ -138,13 +141,32 @@ def rule_complexity_hist(spark, sf):
     return assoc.break_rules(rules(spark, sf)).groupBy("num_changes").agg(F.count("*").alias("n"))
 
 
-@register("rule_stability")
+_SORTED = sorted(_BASKET, key=lambda t: t[1])
+_MASK = " + ".join(f"CASE WHEN {cond} THEN {1 << i} ELSE 0 END" for i, (cond, _) in enumerate(_SORTED))
+_NAMES = "[" + ", ".join(f"'{item}'" for _, item in _SORTED) + "]"
+_BREAK_BIT = 1 << [item for _, item in _SORTED].index(assoc.BREAK)
+_LIST = "array_to_string(list_filter({names}, lambda x, i: ({m} >> (i-1)) & 1 = 1), ',')"
+
+
+@register(
+    "rule_stability",
+    f"""WITH {TXN}, fo AS (SELECT *, (row_number() OVER (PARTITION BY was_exception ORDER BY {H}, txn_key) - 1) % 5 AS fold_id FROM txn),
+      m AS (SELECT fold_id, {_MASK} AS mask, count(*) AS n FROM fo GROUP BY ALL),
+      tot AS (SELECT f, sum(n)::DOUBLE AS t FROM m, range(5) r(f) WHERE fold_id <> f GROUP BY f),
+      sets AS (SELECT f, k, sum(n)::DOUBLE/any_value(t) AS support FROM m JOIN range(1, {1 << len(_SORTED)}) r(k) ON (mask & k) = k JOIN tot ON fold_id <> f
+               GROUP BY f, k HAVING sum(n) >= {MIN_SUPPORT}::DOUBLE*any_value(t)),
+      ru AS (SELECT s.f, a.k AS ak, c.k AS ck, s.support/a.support AS confidence, s.support/a.support/c.support AS lift FROM sets s
+             JOIN sets a ON a.f=s.f AND (s.k & a.k) = a.k AND a.k <> s.k JOIN sets c ON c.f=s.f AND c.k = s.k - a.k
+             WHERE s.support/a.support >= {MIN_CONFIDENCE}-1e-12 AND s.support/a.support/c.support >= 1-1e-12 AND (c.k & {_BREAK_BIT}) > 0)
+      SELECT {_LIST.format(names=_NAMES, m='ak')} AS antecedents, {_LIST.format(names=_NAMES, m='ck')} AS consequents, count(*) AS folds,
+        round(avg(confidence), 6) AS mean_confidence, round(stddev_pop(confidence), 6) AS std_confidence, round(avg(lift), 6) AS mean_lift FROM ru GROUP BY ak, ck""",
+)
 def rule_stability(spark, sf):
     t = flags_txn(spark, sf, ["txn_key"])
     folded = splits.stratified_folds(t, "txn_key", TARGET, 5)
     b = assoc.transactions(folded, FLAGS, TARGET).select("items", "fold_id").persist()
     try:
-        return _text(assoc.rule_stability(b, "fold_id", 5, MIN_SUPPORT, MIN_CONFIDENCE))
+        return rounded(_text(assoc.rule_stability(b, "fold_id", 5, MIN_SUPPORT, MIN_CONFIDENCE)))
     finally:
         b.unpersist()
 
@@ -163,10 +185,31 @@ def break_vs_nobreak(spark, sf):
     return b.select("txn_key", cls.alias("class"), F.array_join("items", ",").alias("items"))
 
 
-@register("mine_discretised_rules")
+def _bins(c: str) -> list[tuple[str, str]]:
+    q = f"(SELECT q FROM q_{c})"
+    return [
+        (f"{c} <= {q}[2]", f"printf('{c}_(%.3f, %.3f]', {q}[1], {q}[2])"),
+        (f"({c} > {q}[2] AND {c} <= {q}[3])", f"printf('{c}_(%.3f, %.3f]', {q}[2], {q}[3])"),
+        (f"{c} > {q}[3]", f"printf('{c}_(%.3f, %.3f]', {q}[3], {q}[4])"),
+    ]
+
+
+_DISC_BASE = f"{TXN}, " + ", ".join(
+    f"q_{c} AS (SELECT quantile_cont({c}, [0, 1.0/3, 2.0/3, 1]) AS q FROM txn)" for c in ("l_quantity", "l_discount")
+)
+_DISC = [*_bins("l_quantity"), *_bins("l_discount")]
+_DISC += [(f"{c}={v}", f"{c}={v}") for c in ("chg_factor", "chg_principal", "chg_coupon") for v in (0, 1)]
+_DISC += [("was_exception=1", "cash_break")]
+
+
+@register(
+    "mine_discretised_rules",
+    f"""WITH {rules_sql(_DISC_BASE, 'txn', _DISC, 0.01, 0.4, 0.0)} SELECT {_KEYS}, n, round(support,6) AS support, round(confidence,6) AS confidence,
+        round(lift,6) AS lift FROM rules WHERE list_contains(consequents, 'cash_break')""",
+)
 def mine_discretised_rules(spark, sf):
     """Rules from binned features and categories to the break."""
-    return _text(discretised_rules(spark, sf, 0.4))
+    return rounded(_text(discretised_rules(spark, sf, 0.4)))
 
 
 def discretised_rules(spark, sf, min_confidence, min_support=0.01):

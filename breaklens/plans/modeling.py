@@ -116,7 +116,16 @@ def clf_knn(spark, sf):
     return rounded(out)
 
 
-@register("param_grids")
+_GRID_ROWS = ", ".join(
+    f"('{m}', {len(list(product(*g.values())))}, '{', '.join(g)}')" for m, g in models.PARAM_GRIDS.items()
+)
+
+
+@register(
+    "param_grids",
+    f"""WITH {TXN} SELECT model, CAST(points AS INT) AS points, params, (SELECT count(*) FROM txn WHERE bucket < 80) AS train_rows
+        FROM (VALUES {_GRID_ROWS}) v(model, points, params)""",
+)
 def param_grids(spark, sf):
     """Points per grid with the rows each would be trained on."""
     sizes = [(m, len(list(product(*g.values()))), ", ".join(g)) for m, g in models.PARAM_GRIDS.items()]

@@ -12,12 +12,22 @@ NUM = ["l_quantity", "price_null", "l_discount", "o_totalprice"]
 CAT = ["security_type", "currency", "sector_null"]
 
 
-@register("infer_types")
+_KIND = """CASE WHEN typeof(any_value({c})) IN ('BIGINT','INTEGER','DOUBLE','HUGEINT') THEN 'numeric'
+    WHEN typeof(any_value({c})) = 'VARCHAR' THEN 'categorical' ELSE 'other' END"""
+_TYPES = f"{TXN}, types AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {_KIND.format(c=c)} AS kind, count({c}) AS n_values FROM txn" for c in TXN_COLUMNS
+) + ")"
+
+
+@register("infer_types", f"WITH {_TYPES} SELECT * FROM types")
 def infer_types(spark, sf):
     return prep.type_table(txn(spark, sf))
 
 
-@register("dtype_counts")
+@register(
+    "dtype_counts",
+    f"WITH {_TYPES} SELECT kind, count(*) AS n_columns, CAST(sum(n_values) AS BIGINT) AS n_values FROM types GROUP BY 1",
+)
 def dtype_counts(spark, sf):
     kinds = prep.type_table(txn(spark, sf))
     return kinds.groupBy("kind").agg(F.count("*").alias("n_columns"), F.sum("n_values").alias("n_values"))
@@ -139,21 +149,49 @@ def embedding_dim_rule(spark, sf):
     return s.select("column_name", "vocab_size", prep.embedding_dim(F.col("vocab_size")).alias("embedding_dim"))
 
 
-@register("prepare_inputs")
+def _scaled_sql(c: str, where: str) -> str:
+    """Median fill, then (x - mean) / population deviation, all fitted on the rows `where`."""
+    fill = f"coalesce({c}, (SELECT median({c}) FROM txn WHERE {where}))"
+    return f"round(({fill} - (SELECT avg({fill}) FROM txn WHERE {where}))/(SELECT stddev_pop({fill}) FROM txn WHERE {where}), 6) AS {c}_scaled"
+
+
+def _index_sql(c: str, where: str) -> str:
+    v = f"coalesce({c}, 'MISSING')"
+    return f"CAST(list_position((SELECT list_sort(list(DISTINCT {v})) FROM txn WHERE {where}), {v}) - 1 AS DOUBLE) AS {c}_idx"
+
+
+def spread(df, names):
+    """Assembled features back in named columns."""
+    x = vector_to_array("features")
+    return df.select("txn_key", *[F.round(x[i], 6).alias(n) for i, n in enumerate(names)], *[c for c in df.columns if c in _LAB])
+
+
+_LAB = ["was_exception", "fld_factor", "fld_coupon", "fld_date"]
+
+
+@register(
+    "prepare_inputs",
+    f"WITH {TXN} SELECT txn_key, {', '.join(_scaled_sql(c, 'true') for c in NUM)}, "
+    + ", ".join(f"CAST({c} IS NULL AS DOUBLE) AS {c}_missing" for c in NUM)
+    + f", {', '.join(_index_sql(c, 'true') for c in CAT)}, {', '.join(_LAB)} FROM txn",
+)
 def prepare_inputs(spark, sf):
-    """Model input per row: scaled numerics, missing indicators, category indexes; labels as a matrix column."""
-    t = txn(spark, sf, ["txn_key", *NUM, *CAT, "was_exception", "fld_factor", "fld_coupon", "fld_date"])
+    """Model input per row: scaled numerics, missing indicators, category indexes; labels beside it."""
+    t = txn(spark, sf, ["txn_key", *NUM, *CAT, *_LAB])
     fitted = prep.fit_inputs(t, NUM, CAT)
-    labels = F.array("fld_factor", "fld_coupon", "fld_date").alias("labels")
-    return fitted.transform(t).select("txn_key", vector_to_array("features").alias("features"), "was_exception", labels)
+    return spread(fitted.transform(t).select("txn_key", "features", *_LAB), fitted.names())
 
 
-@register("preprocess_stages")
+@register(
+    "preprocess_stages",
+    f"WITH {TXN} SELECT txn_key, {', '.join(_scaled_sql(c, 'bucket < 80') for c in NUM)}, "
+    + f"{', '.join(_index_sql(c, 'bucket < 80') for c in CAT)} FROM txn WHERE bucket >= 80",
+)
 def preprocess_stages(spark, sf):
     """Fitted on the training rows, applied to the test rows."""
     t = txn(spark, sf, ["txn_key", "bucket", *NUM, *CAT])
     fitted = prep.fit_inputs(t.filter("bucket < 80"), NUM, CAT, indicators=False)
-    return fitted.transform(t.filter("bucket >= 80")).select("txn_key", vector_to_array("features").alias("features"))
+    return spread(fitted.transform(t.filter("bucket >= 80")).select("txn_key", "features"), fitted.names())
 
 
 @register(

@@ -67,9 +67,17 @@ def chi2_triplet(spark, sf):
     return rounded(triplets(spark, sf)).orderBy(F.desc_nulls_last("chi2"), "triplet_name")
 
 
-@register("p_value")
+# erfc(z) = 1 - 2/sqrt(pi) exp(-z^2) sum 2^n z^(2n+1)/(2n+1)!! for small z, its asymptotic series for large z
+_P = f"""{SINGLES}, z AS (SELECT *, sqrt(chi2/2) AS z FROM singles),
+  pv AS (SELECT *, CASE WHEN z < 6 THEN 1 - 2/sqrt(pi())*exp(-z*z)*list_sum(list_transform(range(0, 200),
+      lambda n: exp(2*n*ln(2) + (2*n+1)*ln(z) + lgamma(n+1) - lgamma(2*n+2))))
+    ELSE exp(-z*z)/(z*sqrt(pi()))*(1 - 1/(2*z*z) + 3/(4*power(z,4)) - 15/(8*power(z,6)) + 105/(16*power(z,8))) END AS p FROM z)"""
+
+
+@register("p_value", f"WITH {_P} SELECT field, round(chi2, 6) AS chi2, round(p, 9) AS p_value FROM pv")
 def p_value(spark, sf):
-    return singles(spark, sf).select("field", "chi2", stats.chi2_p_value("chi2").alias("p_value"))
+    out = singles(spark, sf).select("field", "chi2", stats.chi2_p_value("chi2").alias("p_value"))
+    return out.select("field", F.round("chi2", 6).alias("chi2"), F.round("p_value", 9).alias("p_value"))
 
 
 @register("lift_individual", f"WITH {SINGLES} SELECT field, {r6('lift')} FROM singles")
@@ -211,12 +219,18 @@ def break_rate_comparison(spark, sf):
     return rounded(profile.break_rate_comparison(singles(spark, sf), pairs(spark, sf), triplets(spark, sf)))
 
 
-@register("volcano_table")
+@register(
+    "volcano_table",
+    f"""WITH {_P} SELECT field, {r6('cramers_v', 'lift')}, round(rate_1, 6) AS rate_changed,
+        CASE WHEN p > 0 THEN round(-log10(p), 4) ELSE 'Infinity'::DOUBLE END AS neg_log10_p FROM pv""",
+)
 def volcano_table(spark, sf):
     s = singles(spark, sf).select(
         "field", "cramers_v", "lift", "rate_changed", stats.chi2_p_value("chi2").alias("p_value")
     )
-    return s.withColumn("neg_log10_p", F.when(F.col("p_value") > 0, -F.log10("p_value")).otherwise(F.lit(float("inf"))))
+    log_p = F.when(F.col("p_value") > 0, F.round(-F.log10("p_value"), 4)).otherwise(F.lit(float("inf")))
+    exact = [F.round(c, 6).alias(c) for c in ("cramers_v", "lift", "rate_changed")]
+    return s.select("field", *exact, log_p.alias("neg_log10_p"))
 
 
 @register(
