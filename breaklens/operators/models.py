@@ -134,10 +134,9 @@ def fit(name: str, estimator, train: DataFrame, target: str, label: str = "label
 
 def metric_row(scored: DataFrame, target: str, prob: str = "prob", pred: str = "pred") -> dict:
     """Metrics of one scored frame, including ROC AUC."""
-    row = metrics.with_scores(metrics.confusion(scored, {"m": (target, pred)})).first()
-    auc = BinaryClassificationEvaluator(rawPredictionCol=prob, labelCol=target).evaluate(
-        scored.select(F.col(prob), F.col(target).cast("double").alias(target))
-    )
+    with cached(scored.select(F.col(target).cast("double").alias(target), prob, pred)) as s:
+        row = metrics.with_scores(metrics.confusion(s, {"m": (target, pred)})).first()
+        auc = BinaryClassificationEvaluator(rawPredictionCol=prob, labelCol=target).evaluate(s)
     return {k: float(row[k]) for k in ("accuracy", "precision", "recall", "f1_score")} | {"auc": float(auc)}
 
 

@@ -302,29 +302,30 @@ def greedy_rule_list(
     n_all = counts.agg(F.sum("_n")).first()[0] or 0
     rules: list[Rule] = []
     left = counts
-    cand = [(f, i, c) for f, cs in cuts.items() for i, c in enumerate(cs)]
     while True:
-        aggs = [F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_y")).alias("p")]
-        for j, (f, i, _) in enumerate(cand):
-            inside = F.col(f) <= i
-            aggs += [
-                F.sum(F.when(inside, F.col("_n")).otherwise(0)).alias(f"n{j}"),
-                F.sum(F.when(inside, F.col("_n") * F.col("_y")).otherwise(0)).alias(f"p{j}"),
-            ]
-        row = left.agg(*aggs).first()
-        n, p = row["n"] or 0, row["p"] or 0
+        per_bin = left.select(
+            F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("bin"), F.col("_n"), F.col("_y")) for f in cuts]))
+        )
+        rows = per_bin.groupBy("f", "bin").agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_y")).alias("p")).collect()
+        bins: dict[str, dict[int, tuple[int, int]]] = {}
+        for r in rows:
+            bins.setdefault(r["f"], {})[r["bin"]] = (r["n"], r["p"])
+        n, p = (sum(v[i] for v in next(iter(bins.values()), {}).values()) for i in (0, 1))
         best = None
         if len(rules) < max_rules and n >= n_all * min_support and 0 < p < n:
             leaf = max(int(n * min_leaf), 1)
-            for j, (f, i, c) in enumerate(cand):
-                nl, pl = row[f"n{j}"], row[f"p{j}"]
-                nr, pr = n - nl, p - pl
-                if nl < leaf or nr < leaf:
-                    continue
-                gain = _gini(p, n) - nl / n * _gini(pl, nl) - nr / n * _gini(pr, nr)
-                rank = (-round(gain, 12), f, c)
-                if best is None or rank < best[0]:
-                    best = (rank, f, i, c, nl, pl, nr, pr)
+            for f, cs in cuts.items():
+                nl = pl = 0
+                for i, c in enumerate(cs):
+                    here = bins[f].get(i, (0, 0))
+                    nl, pl = nl + here[0], pl + here[1]
+                    nr, pr = n - nl, p - pl
+                    if nl < leaf or nr < leaf:
+                        continue
+                    gain = _gini(p, n) - nl / n * _gini(pl, nl) - nr / n * _gini(pr, nr)
+                    rank = (-round(gain, 12), f, c)
+                    if best is None or rank < best[0]:
+                        best = (rank, f, i, c, nl, pl, nr, pr)
         if best is None:
             break
         _, f, i, c, nl, pl, nr, pr = best

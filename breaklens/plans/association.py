@@ -58,7 +58,8 @@ def baskets(spark, sf, extra=None):
 
 
 def itemsets(spark, sf):
-    return assoc.frequent_itemsets(baskets(spark, sf).select("items"), MIN_SUPPORT)
+    b = assoc.transactions(txn(spark, sf, [*FLAGS, TARGET], heavy=True), FLAGS, TARGET)
+    return assoc.frequent_itemsets(b.select("items"), MIN_SUPPORT)
 
 
 def rules(spark, sf):
@@ -162,7 +163,7 @@ _LIST = "array_to_string(list_filter({names}, lambda x, i: ({m} >> (i-1)) & 1 =
         round(avg(confidence), 6) AS mean_confidence, round(stddev_pop(confidence), 6) AS std_confidence, round(avg(lift), 6) AS mean_lift FROM ru GROUP BY ak, ck""",
 )
 def rule_stability(spark, sf):
-    t = flags_txn(spark, sf, ["txn_key"])
+    t = txn(spark, sf, [*FLAGS, TARGET, "txn_key"], heavy=True)
     folded = splits.stratified_folds(t, "txn_key", TARGET, 5)
     b = assoc.transactions(folded, FLAGS, TARGET).select("items", "fold_id").persist()
     try:
@@ -214,7 +215,7 @@ def mine_discretised_rules(spark, sf):
 
 def discretised_rules(spark, sf, min_confidence, min_support=0.01):
     numeric, flags = ["l_quantity", "l_discount"], ["chg_factor", "chg_principal", "chg_coupon"]
-    t = txn(spark, sf, [*numeric, *flags, TARGET])
+    t = txn(spark, sf, [*numeric, *flags, TARGET], heavy=True)
     fitted = prep.fit_qcut(t, numeric, 3)
     items = prep.qcut_items(t, fitted, flags, "feature_items")
     target = F.when(F.col(TARGET) == 1, F.array(F.lit("cash_break"))).otherwise(F.array().cast("array<string>"))

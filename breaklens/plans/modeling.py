@@ -1,5 +1,6 @@
 """Classifiers, tuning and multi-task models."""
 
+from contextlib import contextmanager
 from itertools import product
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
@@ -17,12 +18,18 @@ CATEGORY = ["security_type", "currency"]
 TREE_SIZE = 5
 
 
+@contextmanager
 def model_data(spark, sf):
-    """(train, test, feature names): inputs fitted on the hold-out's training side only."""
-    t = txn(spark, sf, ["txn_key", "bucket", "fold", *NUMERIC, *CATEGORY, *FLAGS, TARGET, *LABELS])
-    inputs = prep.fit_inputs(t.filter("bucket < 80"), NUMERIC, CATEGORY, FLAGS)
-    ready = inputs.transform(t).select("txn_key", "bucket", "fold", "features", TARGET, *LABELS)
-    return ready.filter("bucket < 80"), ready.filter("bucket >= 80"), inputs.names()
+    """(train, test, feature names): inputs fitted on the hold-out's training side only.
+
+    The joined rows and the assembled features are kept while the query fits its models.
+    """
+    t = txn(spark, sf, ["txn_key", "bucket", "fold", *NUMERIC, *CATEGORY, *FLAGS, TARGET, *LABELS], heavy=True)
+    with models.cached(t):
+        inputs = prep.fit_inputs(t.filter("bucket < 80"), NUMERIC, CATEGORY, FLAGS)
+        ready = inputs.transform(t).select("txn_key", "bucket", "fold", "features", TARGET, *LABELS)
+        with models.cached(ready):
+            yield ready.filter("bucket < 80"), ready.filter("bucket >= 80"), inputs.names()
 
 
 def _zoo(names, size=TREE_SIZE):
@@ -31,9 +38,9 @@ def _zoo(names, size=TREE_SIZE):
 
 def _one(name):
     def run(spark, sf):
-        train, test, names = model_data(spark, sf)
-        table, _ = models.train_single_task(train, test, TARGET, {name: _zoo(names)[name]})
-        return table
+        with model_data(spark, sf) as (train, test, names):
+            table, _ = models.train_single_task(train, test, TARGET, {name: _zoo(names)[name]})
+            return table
 
     return run
 
@@ -52,16 +59,14 @@ for _id, _name in {
 @register("clf_gbt")
 def clf_gbt(spark, sf):
     """The three boosting presets."""
-    train, test, names = model_data(spark, sf)
-    with models.cached(train):
+    with model_data(spark, sf) as (train, test, names):
         zoo = {n: _zoo(names)[n] for n in ("gradient_boosting", "xgboost", "lightgbm")}
         return models.train_single_task(train, test, TARGET, zoo)[0]
 
 
 @register("clf_mlp")
 def clf_mlp(spark, sf):
-    train, test, names = model_data(spark, sf)
-    with models.cached(train):
+    with model_data(spark, sf) as (train, test, names):
         zoo = {n: _zoo(names)[n] for n in ("neural_small", "neural_large")}
         return models.train_single_task(train, test, TARGET, zoo)[0]
 
@@ -135,43 +140,40 @@ def param_grids(spark, sf):
 
 @register("tune_grid")
 def tune_grid(spark, sf):
-    train, _, _ = model_data(spark, sf)
-    est = DecisionTreeClassifier(labelCol="label", seed=models.SEED)
-    with models.cached(train.withColumn("fold_id", F.col("fold") % 3)) as t:
+    with model_data(spark, sf) as (train, _, _):
+        est = DecisionTreeClassifier(labelCol="label", seed=models.SEED)
+        t = train.withColumn("fold_id", F.col("fold") % 3)
         return models.tune(est, models.param_maps(est, {"maxDepth": [2, 5]}), t, TARGET, 3, "fold_id")[1]
 
 
 @register("tune_random")
 def tune_random(spark, sf):
-    train, _, _ = model_data(spark, sf)
-    est = DecisionTreeClassifier(labelCol="label", seed=models.SEED)
-    maps = models.sample_maps(est, models.PARAM_GRIDS["decision_tree"], 2)
-    with models.cached(train.withColumn("fold_id", F.col("fold") % 3)) as t:
+    with model_data(spark, sf) as (train, _, _):
+        est = DecisionTreeClassifier(labelCol="label", seed=models.SEED)
+        maps = models.sample_maps(est, models.PARAM_GRIDS["decision_tree"], 2)
+        t = train.withColumn("fold_id", F.col("fold") % 3)
         return models.tune(est, maps, t, TARGET, 3, "fold_id")[1]
 
 
 @register("cv_scores")
 def cv_scores(spark, sf):
-    train, _, names = model_data(spark, sf)
-    zoo = {n: _zoo(names)[n] for n in ("decision_tree", "naive_bayes")}
-    with models.cached(train) as t:
-        return models.cv_summary(models.cv_scores(t, TARGET, zoo, 5, "fold"))
+    with model_data(spark, sf) as (train, _, names):
+        zoo = {n: _zoo(names)[n] for n in ("decision_tree", "naive_bayes")}
+        return models.cv_summary(models.cv_scores(train, TARGET, zoo, 5, "fold"))
 
 
 @register("train_single_task")
 def train_single_task(spark, sf):
-    train, test, names = model_data(spark, sf)
-    zoo = {n: _zoo(names)[n] for n in ("logistic_regression", "random_forest", "naive_bayes", "decision_tree")}
-    with models.cached(train) as t:
-        return models.train_single_task(t, test, TARGET, zoo)[0]
+    with model_data(spark, sf) as (train, test, names):
+        zoo = {n: _zoo(names)[n] for n in ("logistic_regression", "random_forest", "naive_bayes", "decision_tree")}
+        return models.train_single_task(train, test, TARGET, zoo)[0]
 
 
 @register("run_single_analysis")
 def run_single_analysis(spark, sf):
-    train, test, names = model_data(spark, sf)
-    zoo = {n: _zoo(names)[n] for n in ("decision_tree", "naive_bayes")}
-    with models.cached(train) as t:
-        folded = t.withColumn("fold2", F.col("fold") % 2)
+    with model_data(spark, sf) as (train, test, names):
+        zoo = {n: _zoo(names)[n] for n in ("decision_tree", "naive_bayes")}
+        folded = train.withColumn("fold2", F.col("fold") % 2)
         return models.run_single_analysis(folded, test, [TARGET, "fld_coupon"], zoo, 2, "fold2")
 
 
@@ -181,34 +183,30 @@ def _tree(depth=4):
 
 @register("train_independent")
 def train_independent(spark, sf):
-    train, test, _ = model_data(spark, sf)
-    with models.cached(train) as t:
-        fitted = multitask.train_independent(t, LABELS, {"decision_tree": _tree()})
+    with model_data(spark, sf) as (train, test, _):
+        fitted = multitask.train_independent(train, LABELS, {"decision_tree": _tree()})
         return multitask.field_results(test, fitted, "independent")
 
 
 @register("train_multilabel")
 def train_multilabel(spark, sf):
-    train, test, _ = model_data(spark, sf)
-    with models.cached(train) as t:
-        fitted = multitask.train_shared(t, LABELS, {"decision_tree": [_tree(2), _tree(4)]})
+    with model_data(spark, sf) as (train, test, _):
+        fitted = multitask.train_shared(train, LABELS, {"decision_tree": [_tree(2), _tree(4)]})
         return multitask.field_results(test, fitted, "multilabel")
 
 
 @register("run_multilabel_analysis")
 def run_multilabel_analysis(spark, sf):
-    train, test, _ = model_data(spark, sf)
-    with models.cached(train) as t:
-        a = multitask.field_results(test, multitask.train_independent(t, LABELS, {"decision_tree": _tree()}), "independent")
-        b = multitask.field_results(test, multitask.train_shared(t, LABELS, {"logistic_regression": [LogisticRegression(labelCol="label", maxIter=20)]}), "multilabel")
+    with model_data(spark, sf) as (train, test, _):
+        a = multitask.field_results(test, multitask.train_independent(train, LABELS, {"decision_tree": _tree()}), "independent")
+        b = multitask.field_results(test, multitask.train_shared(train, LABELS, {"logistic_regression": [LogisticRegression(labelCol="label", maxIter=20)]}), "multilabel")
         return metrics.recommend(a.unionByName(b))
 
 
 @register("importance_matrix")
 def importance_matrix(spark, sf):
-    train, _, names = model_data(spark, sf)
-    with models.cached(train) as t:
-        return multitask.importance_matrix(t, [TARGET, *LABELS], _tree(), names)
+    with model_data(spark, sf) as (train, _, names):
+        return multitask.importance_matrix(train, [TARGET, *LABELS], _tree(), names)
 
 
 @register("feature_importance")
@@ -227,80 +225,75 @@ def oof_fold(train):
 
 @register("stack_oof")
 def stack_oof(spark, sf):
-    train, test, names = model_data(spark, sf)
-    with models.cached(oof_fold(train)) as t:
+    with model_data(spark, sf) as (train, test, names):
+        t = oof_fold(train)
         stack = multitask.fit_stack(t, LABELS, TARGET, _tree(), _tree(5), 2, "oof")
         return models.metric_frame(spark, [{"task": TARGET, "model": "stack"} | models.metric_row(stack.score(test), TARGET)])
 
 
 @register("chain_models")
 def chain_models(spark, sf):
-    train, test, names = model_data(spark, sf)
-    with models.cached(oof_fold(train)) as t:
+    with model_data(spark, sf) as (train, test, names):
+        t = oof_fold(train)
         chain = multitask.fit_chain(t, LABELS, TARGET, _tree(), _tree(5), 2, "oof")
         return models.metric_frame(spark, [{"task": TARGET, "model": "chain"} | models.metric_row(chain.score(test), TARGET)])
 
 
 @register("chain_contributions")
 def chain_contributions(spark, sf):
-    train, _, names = model_data(spark, sf)
-    with models.cached(oof_fold(train)) as t:
+    with model_data(spark, sf) as (train, _, names):
+        t = oof_fold(train)
         chain = multitask.fit_chain(t, LABELS, TARGET, _tree(), _tree(5), 2, "oof")
-    return multitask.chain_contributions(spark, chain, names)
+        return multitask.chain_contributions(spark, chain, names)
 
 
 @register("chain_with_rules")
 def chain_with_rules(spark, sf):
     """Chain whose stages also yield their rules, tagged by stage."""
-    train, _, names = model_data(spark, sf)
-    with models.cached(oof_fold(train)) as t:
+    with model_data(spark, sf) as (train, _, names):
+        t = oof_fold(train)
         chain = multitask.fit_chain(t, LABELS, TARGET, _tree(), _tree(5), 2, "oof")
-    found = multitask.chain_rules(spark, chain, names, min_samples=50, min_confidence=0.5)
-    return rules.rules_frame(spark, found).withColumn("conditions", F.size("conditions"))
+        found = multitask.chain_rules(spark, chain, names, min_samples=50, min_confidence=0.5)
+        return rules.rules_frame(spark, found).withColumn("conditions", F.size("conditions"))
 
 
 @register("hierarchy_models")
 def hierarchy_models(spark, sf):
-    train, test, _ = model_data(spark, sf)
-    groups = {"payment_changes": ["fld_factor", "fld_coupon"], "security_changes": ["fld_date"]}
-    with models.cached(train) as t:
-        h = multitask.fit_hierarchy(t, groups, TARGET, _tree(), _tree(2), _tree(5))
+    with model_data(spark, sf) as (train, test, _):
+        groups = {"payment_changes": ["fld_factor", "fld_coupon"], "security_changes": ["fld_date"]}
+        h = multitask.fit_hierarchy(train, groups, TARGET, _tree(), _tree(2), _tree(5))
         return models.metric_frame(spark, [{"task": TARGET, "model": "hierarchy"} | models.metric_row(h.score(test), TARGET)])
 
 
 @register("break_then_fields")
 def break_then_fields(spark, sf):
-    train, test, _ = model_data(spark, sf)
-    with models.cached(train) as t:
-        m = multitask.fit_break_then_fields(t, LABELS, TARGET, GBTClassifier(labelCol="label", maxIter=3, maxDepth=3, seed=models.SEED), 3)
+    with model_data(spark, sf) as (train, test, _):
+        m = multitask.fit_break_then_fields(train, LABELS, TARGET, GBTClassifier(labelCol="label", maxIter=3, maxDepth=3, seed=models.SEED), 3)
         return multitask.field_table(m.score(test), LABELS, "break_then_fields")
 
 
 @register("hierarchical_levels")
 def hierarchical_levels(spark, sf):
-    train, test, _ = model_data(spark, sf)
-    with models.cached(train) as t:
-        m = multitask.fit_levels(t, LABELS, TARGET, components=3)
+    with model_data(spark, sf) as (train, test, _):
+        m = multitask.fit_levels(train, LABELS, TARGET, components=3)
         return multitask.field_table(m.score(test), LABELS, "hierarchical")
 
 
 @register("compare_architectures")
 def compare_architectures(spark, sf):
     """Boosting with the break as input against hierarchical levels, on the same split."""
-    train, test, _ = model_data(spark, sf)
-    with models.cached(train) as t:
+    with model_data(spark, sf) as (train, test, _):
         parts = {
-            "gradient_boosting": multitask.fit_break_then_fields(t, LABELS, TARGET, GBTClassifier(labelCol="label", maxIter=2, maxDepth=3, seed=models.SEED), 2),
-            "hierarchical": multitask.fit_levels(t, LABELS, TARGET, components=3),
+            "gradient_boosting": multitask.fit_break_then_fields(train, LABELS, TARGET, GBTClassifier(labelCol="label", maxIter=2, maxDepth=3, seed=models.SEED), 2),
+            "hierarchical": multitask.fit_levels(train, LABELS, TARGET, components=3),
         }
         return multitask.architecture_table(test, parts, LABELS, TARGET)
 
 
 @register("uncertainty")
 def uncertainty(spark, sf):
-    train, test, _ = model_data(spark, sf)
-    with models.cached(train) as t:
-        return multitask.bootstrap_uncertainty(t, test, "txn_key", TARGET, _tree(), 5)
+    with model_data(spark, sf) as (train, test, _):
+        return multitask.bootstrap_uncertainty(train, test, "txn_key", TARGET, _tree(), 5)
 
 
 @register("rule_model_hybrid")

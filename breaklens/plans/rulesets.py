@@ -19,7 +19,7 @@ FEATURES = [*FLAGS, *NUMERIC]
 
 
 def rule_data(spark, sf):
-    t = txn(spark, sf, ["txn_key", "bucket", "fold", *FEATURES, TARGET, *LABELS])
+    t = txn(spark, sf, ["txn_key", "bucket", "fold", *FEATURES, TARGET, *LABELS], heavy=True)
     return models.assemble(t, FEATURES)
 
 

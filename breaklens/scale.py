@@ -132,76 +132,63 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles (linear interpolation between order statistics) of numeric columns.
 
-    `percentile` keeps every distinct value of a column in one buffer. Here each pass narrows an open
-    interval around the wanted ranks with a bounded sketch; values are gathered only once the
-    interval holds at most `small` rows.
+    `percentile` keeps every distinct value of a column in one buffer. Here a bounded sketch puts
+    edges around every wanted rank (one scan for all columns), and the rows at and between the edges
+    are counted. A rank on an edge is settled. A rank strictly between two edges is settled by
+    gathering that gap once it holds at most `small` rows; larger gaps get closer edges first.
     """
-    n = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-    want: dict[tuple[str, int], None] = {}
+    step = 2.0 / sketch
+    ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-step, step)]
+    first = df.agg(
+        *[F.count(c).alias(f"n_{c}") for c in cols],
+        *[F.percentile_approx(F.col(c).cast("double"), ends, sketch).alias(f"q_{c}") for c in cols],
+    ).first()
+    n = {c: first[f"n_{c}"] for c in cols}
+    wanted: dict[str, set[int]] = {}
+    edges: dict[str, list[float]] = {}
     for c in cols:
-        for p in probs:
-            if n[c]:
-                pos = p * (n[c] - 1)
-                want[(c, int(pos))] = None
-                want[(c, min(int(pos) + 1, n[c] - 1))] = None
-    # (column, rank) -> open interval (lo, hi), rows at or below lo, rows inside
-    state = {w: (None, None, 0, n[w[0]]) for w in want}
+        if n[c]:
+            pos = [int(p * (n[c] - 1)) for p in probs]
+            wanted[c] = {r for q in pos for r in (q, min(q + 1, n[c] - 1))}
+            edges[c] = sorted(set(first[f"q_{c}"]))
     found: dict[tuple[str, int], float] = {}
-    while state:
-        done = {w: s for w, s in state.items() if s[3] <= small}
-        if done:
-            groups = sorted({(w[0], s[0], s[1]) for w, s in done.items()}, key=str)
-            row = df.agg(
+    while wanted:
+        counts = _edge_counts(df, edges)
+        gaps: dict[tuple[str, float | None, float | None], tuple[int, int, list[int]]] = {}
+        for c, ranks in wanted.items():
+            for r in ranks:
+                below = 0
+                for code in range(2 * len(edges[c]) + 1):
+                    here = counts.get((c, code), 0)
+                    if r < below + here:
+                        break
+                    below += here
+                if code % 2:
+                    found[(c, r)] = edges[c][code // 2]
+                else:
+                    k = code // 2
+                    gap = (c, edges[c][k - 1] if k else None, edges[c][k] if k < len(edges[c]) else None)
+                    gaps.setdefault(gap, (below, here, []))[2].append(r)
+        few = {g: v for g, v in gaps.items() if v[1] <= small}
+        for g, values in _gather(df, list(few)).items():
+            for r in few[g][2]:
+                found[(g[0], r)] = values[r - few[g][0]]
+        many = [(g, v) for g, v in gaps.items() if v[1] > small]
+        wanted, edges = {}, {}
+        if many:
+            closer = df.agg(
                 *[
-                    F.sort_array(F.collect_list(F.when(_inside(c, lo, hi), F.col(c).cast("double")))).alias(f"g{i}")
-                    for i, (c, lo, hi) in enumerate(groups)
+                    F.percentile_approx(
+                        F.when(_inside(*g), F.col(g[0]).cast("double")),
+                        [min(max((r - below) / here + d, 0.0), 1.0) for r in ranks for d in (-step, step)],
+                        sketch,
+                    ).alias(f"e{i}")
+                    for i, (g, (below, here, ranks)) in enumerate(many)
                 ]
             ).first()
-            for w, s in done.items():
-                found[w] = row[f"g{groups.index((w[0], s[0], s[1]))}"][w[1] - s[2]]
-                del state[w]
-            continue
-        marks = list(state)
-        exprs = []
-        for i, w in enumerate(marks):
-            lo, hi, below, inside = state[w]
-            r = (w[1] - below) / inside
-            step = 2.0 / sketch
-            exprs.append(
-                F.percentile_approx(
-                    F.when(_inside(w[0], lo, hi), F.col(w[0]).cast("double")),
-                    [max(r - step, 0.0), min(r + step, 1.0)],
-                    sketch,
-                ).alias(f"q{i}")
-            )
-        edges = df.agg(*exprs).first()
-        counts = []
-        for i, w in enumerate(marks):
-            x, (a, b) = F.col(w[0]).cast("double"), edges[f"q{i}"]
-            counts += [
-                F.count_if(x < a).alias(f"la{i}"),
-                F.count_if(x == a).alias(f"ea{i}"),
-                F.count_if(x < b).alias(f"lb{i}"),
-                F.count_if(x == b).alias(f"eb{i}"),
-            ]
-        c = df.agg(*counts).first()
-        for i, w in enumerate(marks):
-            (lo, hi, below, inside), (a, b), r = state[w], edges[f"q{i}"], w[1]
-            la, ea, lb, eb = (c[f"{k}{i}"] for k in ("la", "ea", "lb", "eb"))
-            if la <= r < la + ea:
-                found[w] = a
-            elif lb <= r < lb + eb:
-                found[w] = b
-            elif r < la:
-                state[w] = (lo, a, below, la - below)
-                continue
-            elif r >= lb + eb:
-                state[w] = (b, hi, lb + eb, below + inside - lb - eb)
-                continue
-            else:
-                state[w] = (a, b, la + ea, lb - la - ea)
-                continue
-            del state[w]
+            for i, ((c, lo, hi), (_, _, ranks)) in enumerate(many):
+                wanted.setdefault(c, set()).update(ranks)
+                edges[c] = sorted({*edges.get(c, []), *closer[f"e{i}"], *(x for x in (lo, hi) if x is not None)})
     out: dict[str, list[float | None]] = {}
     for c in cols:
         out[c] = []
@@ -210,12 +197,33 @@ def exact_quantiles(
                 out[c].append(None)
                 continue
             pos = p * (n[c] - 1)
-            a, b = found[(c, int(pos))], found[(c, min(int(pos) + 1, n[c] - 1))]
-            out[c].append(float(a) + (pos - int(pos)) * (float(b) - float(a)))
+            lo, hi = found[(c, int(pos))], found[(c, min(int(pos) + 1, n[c] - 1))]
+            out[c].append(float(lo) + (pos - int(pos)) * (float(hi) - float(lo)))
     return out
 
 
-def _inside(c: str, lo, hi) -> Column:
+def _edge_counts(df: DataFrame, edges: dict[str, list[float]]) -> dict[tuple[str, int], int]:
+    """Rows per (column, position): position 2k lies between edge k-1 and edge k, position 2k+1 on edge k."""
+    items = []
+    for c, es in edges.items():
+        x = F.col(c).cast("double")
+        code = reduce(lambda a, b: a + b, [(x > e).cast("int") + (x >= e).cast("int") for e in es])
+        items.append(F.struct(F.lit(c).alias("c"), code.alias("code")))
+    long = df.select(F.inline(F.array(*items))).filter("code IS NOT NULL")
+    return {(r["c"], r["code"]): r["n"] for r in long.groupBy("c", "code").agg(F.count("*").alias("n")).collect()}
+
+
+def _gather(df: DataFrame, gaps: list[tuple[str, float | None, float | None]]) -> dict:
+    """Sorted values strictly inside each gap (all gaps are known to be small)."""
+    if not gaps:
+        return {}
+    items = [F.when(_inside(*g), F.struct(F.lit(i).alias("g"), F.col(g[0]).cast("double").alias("x"))) for i, g in enumerate(gaps)]
+    hits = df.select(F.inline(F.array_compact(F.array(*items))))
+    rows = hits.groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("v")).collect()
+    return {gaps[r["g"]]: r["v"] for r in rows}
+
+
+def _inside(c: str, lo: float | None, hi: float | None) -> Column:
     x = F.col(c).cast("double")
     cond = x.isNotNull()
     if lo is not None:
@@ -223,3 +231,12 @@ def _inside(c: str, lo, hi) -> Column:
     if hi is not None:
         cond = cond & (x < F.lit(hi))
     return cond
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a scan has fewer splits than there are cores (few, small or unsplittable files).
+
+    For plain scans only. At scale a scan has far more splits than cores and the frame is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from breaklens.scale import block_window, bucket_count, lookback_blocks, value_buckets
+from breaklens.scale import block_window, bucket_count, lookback_blocks, spread, value_buckets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +69,15 @@ _DERIVED = {
 TXN_COLUMNS = [*_BASE, *_ORDERS, *_PART, *_SUPPLIER, *_NATION, *_DERIVED]
 
 
-def txn(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None) -> DataFrame:
+def txn(
+    spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None, heavy: bool = False
+) -> DataFrame:
     """One row per transaction: features, change flags, break label and field labels.
 
     Only the look-up tables that the asked columns come from are joined: every line item has its
     order, part, supplier and nation (`orphan_keys` counts exceptions to that), so an unused inner
-    join would only add a shuffle of the fact table. Without `columns` all joins are made.
+    join would only add a shuffle of the fact table. Without `columns` all joins are made. `heavy` is for
+    work that costs much more than the scan (model fits): it spreads a small scan over all cores.
     """
     wanted = list(columns) if columns is not None else TXN_COLUMNS
     needed = set(wanted)
@@ -82,6 +85,8 @@ def txn(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None)
         if c in _DERIVED:
             needed.update(_DERIVED[c][1])
     df = table(spark, sf_dir, "lineitem")
+    if heavy:
+        df = spread(df)
     exprs = dict(_BASE)
     if needed & set(_ORDERS):
         df = df.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
