@@ -1,9 +1,11 @@
 """Exact k-nearest-neighbour vote without comparing all pairs.
 
 Equal vectors are merged first (a vector keeps at most its k smallest keys: no query can use more),
-so copies never multiply. Points then lie on a grid over the first two features; a query looks at
-the cells around its own, and is settled once its k-th neighbour is nearer than the edge of the
-searched square. The others search a wider square, until all are settled.
+so copies never multiply. Points then lie on a grid over the two features with the most values; a
+query looks at its own cell and the eight around it, and is settled once its k-th neighbour is no
+farther than one cell width, since everything that near has been seen. The grid starts so fine that
+no cell is crowded, so dense regions settle among few points; the queries left see a grid twice as
+coarse, and so on until one cell spans everything.
 """
 
 from __future__ import annotations
@@ -25,55 +27,61 @@ def _cell(c: str, low: float, width: float) -> Column:
     return F.floor((F.col(c) - F.lit(low)) / F.lit(width))
 
 
+def _grid(points: DataFrame, queries: DataFrame, cols: list[str], k: int) -> tuple[list[str], list[float], float, float]:
+    """Grid columns, their lower ends, the starting cell width and the whole span."""
+    stats = points.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    grid = sorted(cols, key=lambda c: (-stats[c], c))[:2]
+    ends = [
+        df.agg(*[e for c in grid for e in (F.min(c).cast("double"), F.max(c).cast("double"))]).first() for df in (points, queries)
+    ]
+    lows = [min(e[2 * i] for e in ends) for i in range(len(grid))]
+    span = max(max(e[2 * i + 1] for e in ends) - lows[i] for i in range(len(grid))) or 1.0
+    width = span / max((stats["n"] / (2.0 * k)) ** (1 / len(grid)), 1.0)
+    for _ in range(20):
+        cell = [_cell(c, lo, width).alias(f"_c{i}") for i, (c, lo) in enumerate(zip(grid, lows))]
+        fullest = points.select(*cell).groupBy(*[f"_c{i}" for i in range(len(grid))]).count().agg(F.max("count")).first()[0]
+        if fullest <= 10 * k:
+            break
+        width /= 2
+    return grid, lows, width, span
+
+
 def predict(train: DataFrame, test: DataFrame, key: str, cols: list[str], label: str, k: int = 5) -> DataFrame:
     """Key and share of positive labels among the k nearest (ties by key) for each test row."""
-    grid = cols[:2]
     points = cut_lineage(_distinct_points(train, key, cols, label, k))
-    stats = points.agg(
-        F.count("*").alias("n"),
-        *[F.min(c).cast("double").alias(f"lo_{c}") for c in grid],
-        *[F.max(c).cast("double").alias(f"hi_{c}") for c in grid],
-    ).first()
-    spans = [stats[f"hi_{c}"] - stats[f"lo_{c}"] for c in grid]
-    per_side = max((stats["n"] / (2.0 * k)) ** (1 / len(grid)), 1.0)
-    width = max(max(spans) / per_side, 1e-9)
-    lows = [stats[f"lo_{c}"] for c in grid]
+    pending = cut_lineage(test.select(*cols).distinct())
+    grid, lows, width, span = _grid(points, pending, cols, k)
     cells = [f"_c{i}" for i in range(len(grid))]
-    gridded = points.select(
-        *[F.col(c).alias(f"_p_{c}") for c in cols], "members", *[_cell(c, lo, width).alias(x) for c, lo, x in zip(grid, lows, cells)]
-    )
-    queries = cut_lineage(test.select(*cols).distinct())
-    bounds = queries.agg(*[F.min(c).cast("double").alias(f"a{i}") for i, c in enumerate(grid)], *[F.max(c).cast("double").alias(f"b{i}") for i, c in enumerate(grid)]).first()
-    # a square of this many cells covers every point from every query
-    reach = max(
-        int(max(hi, bounds[f"b{i}"]) / width - min(lo, bounds[f"a{i}"]) / width) + 2
-        for i, (lo, hi) in enumerate((stats[f"lo_{c}"], stats[f"hi_{c}"]) for c in grid)
-    )
-    pending, settled, r = queries, None, 1
+    by_query = W.partitionBy(*cols)
+    settled = None
     while True:
-        r = min(r, reach)
-        near = pending.select(*cols, *[_cell(c, lo, width).alias(f"{x}_q") for c, lo, x in zip(grid, lows, cells)])
+        last = width >= span
+        gridded = points.select(
+            *[F.col(c).alias(f"_p_{c}") for c in cols],
+            "members",
+            *[_cell(c, lo, width).alias(x) for c, lo, x in zip(grid, lows, cells)],
+        )
+        near = pending.select(*cols, *[_cell(c, lo, width).alias(x) for c, lo, x in zip(grid, lows, cells)])
         for x in cells:
-            near = near.withColumn(x, F.explode(F.sequence(F.col(f"{x}_q") - r, F.col(f"{x}_q") + r)))
-        pairs = near.join(gridded, cells)
+            near = near.withColumn(x, F.explode(F.sequence(F.col(x) - 1, F.col(x) + 1)))
         dist = sum(((F.col(c) - F.col(f"_p_{c}")) * (F.col(c) - F.col(f"_p_{c}")) for c in cols), F.lit(0.0))
-        by_query = W.partitionBy(*cols)
-        closest = pairs.select(*cols, "members", dist.alias("_d")).withColumn(
-            "_i", F.row_number().over(by_query.orderBy("_d", F.col("members")[0][key]))
+        # the nearest k vectors (with ties) hold the nearest k members
+        closest = (
+            near.join(gridded, cells)
+            .select(*cols, "members", dist.alias("_d"))
+            .withColumn("_r", F.rank().over(by_query.orderBy("_d")))
+            .filter(F.col("_r") <= k)
         )
-        # k nearest vectors hold the k nearest members, plus vectors tied with the last of them
-        closest = closest.withColumn("_r", F.rank().over(by_query.orderBy("_d"))).filter(F.col("_r") <= k)
         members = closest.select(*cols, "_d", F.inline("members"))
         members = members.withColumn("_i", F.row_number().over(by_query.orderBy("_d", key))).filter(F.col("_i") <= k)
         votes = members.groupBy(*cols).agg(
             F.avg(label).alias("share"), F.count("*").alias("_found"), F.max("_d").alias("_far")
         )
-        safe = F.lit((r * width) ** 2)
-        done = votes.filter((F.col("_found") == k) & (F.col("_far") <= safe)) if r < reach else votes
+        done = votes if last else votes.filter((F.col("_found") == k) & (F.col("_far") <= F.lit(width * width)))
         done = cut_lineage(done.select(*cols, "share"))
         settled = done if settled is None else settled.unionByName(done)
         pending = cut_lineage(pending.join(done, cols, "left_anti"))
-        if r >= reach or pending.isEmpty():
+        if last or pending.isEmpty():
             break
-        r *= 2
+        width *= 2
     return test.select(key, *cols).join(settled, cols).select(key, "share", (F.col("share") > 0.5).cast("int").alias("pred"))

@@ -13,22 +13,18 @@ def holdout(df: DataFrame, key: str, train_share: float = 0.8, seed: int = 42) -
     return df.withColumn("is_train", (key_hash(key, seed) < int(train_share * HASH_PRIME)).cast("int"))
 
 
-def hash_rank(df: DataFrame, by: list[str], key: str, seed: int = 42, out: str = "_rank") -> DataFrame:
+def hash_rank(
+    df: DataFrame, by: list[str], key: str, seed: int = 42, out: str = "_rank", size: str | None = None
+) -> DataFrame:
     """Exact rank of each row in the hash order of its group."""
     tagged = df.withColumn("_hash", key_hash(key, seed))
     tagged = tagged.withColumn("_bucket", hash_bucket("_hash", bucket_count(df.sparkSession)))
-    return global_rank(tagged, by, [F.col("_hash"), F.col(key)], "_bucket", out).drop("_hash", "_bucket")
-
-
-def with_class_count(df: DataFrame, label: str) -> DataFrame:
-    """Add the size of the row's class; one row per class is joined back."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n_class"))
-    return df.join(counts.withColumnRenamed(label, "_label"), F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+    return global_rank(tagged, by, [F.col("_hash"), F.col(key)], "_bucket", out, size).drop("_hash", "_bucket")
 
 
 def stratified(df: DataFrame, key: str, label: str, train_share: float = 0.8, seed: int = 42) -> DataFrame:
     """Split of exact size within each class."""
-    ranked = with_class_count(hash_rank(df, [label], key, seed), label)
+    ranked = hash_rank(df, [label], key, seed, size="_n_class")
     rank = F.when(F.col("_n_class") > 1, (F.col("_rank") - 1) / (F.col("_n_class") - 1)).otherwise(0.0)
     return ranked.withColumn("is_train", (rank <= train_share).cast("int")).drop("_rank", "_n_class")
 

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from breaklens.functions.bands import interaction_class, alert_class, ratio_or_inf, significance_band
 
@@ -152,12 +150,24 @@ def chi2_triplet(sig: DataFrame, flags: list[str], target: str, top_n_pairs: int
     return with_association(counts).withColumn("cases", F.col("n11") + F.col("n10"))
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_p_value(stat: pd.Series) -> pd.Series:
-    """Upper tail of chi-square at one degree of freedom (result tables only)."""
-    from math import erfc, sqrt
-
-    return stat.map(lambda x: None if pd.isna(x) else erfc(sqrt(x / 2.0)))
+def chi2_p_value(stat: Column) -> Column:
+    """Upper tail of chi-square at one degree of freedom: erfc(sqrt(x / 2)).
+
+    Spark has no erfc. The power series of erf serves small arguments and the continued fraction of
+    erfc the others, so that tiny p-values keep their relative precision.
+    """
+    z = F.sqrt(stat / 2)
+    series = F.aggregate(
+        F.sequence(F.lit(0), F.lit(60)),
+        F.struct(z.alias("term"), z.alias("total")),
+        lambda acc, n: F.struct(
+            (acc["term"] * 2 * z * z / (2 * n + 3)).alias("term"),
+            (acc["total"] + acc["term"] * 2 * z * z / (2 * n + 3)).alias("total"),
+        ),
+        lambda acc: 1 - 2 / F.sqrt(F.pi()) * F.exp(-z * z) * acc["total"],
+    )
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1)), z, lambda acc, n: z + n / 2 / acc)
+    return F.when(z < 2, series).otherwise(F.exp(-z * z) / F.sqrt(F.pi()) / fraction)
 
 
 def lift_report(sig: DataFrame, flags: list[str], target: str) -> DataFrame:

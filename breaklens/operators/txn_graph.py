@@ -50,9 +50,9 @@ def similarity_degrees(df: DataFrame, key: str, type_col: str, currency_col: str
     replaces .5 when both agree). The groups are cliques, so the edges of a row follow from three
     group sizes, and the work is linear in the rows although the edges are quadratic.
     """
-    n_type = df.groupBy(type_col).agg(F.count("*").alias("n_type"))
-    n_cur = df.groupBy(currency_col).agg(F.count("*").alias("n_cur"))
     n_both = df.groupBy(type_col, currency_col).agg(F.count("*").alias("n_both"))
+    n_type = n_both.groupBy(type_col).agg(F.sum("n_both").alias("n_type"))
+    n_cur = n_both.groupBy(currency_col).agg(F.sum("n_both").alias("n_cur"))
     sized = df.select(key, type_col, currency_col)
     sized = sized.join(n_type, type_col, "left").join(n_cur, currency_col, "left").join(n_both, [type_col, currency_col], "left")
     # NULL values link to nothing

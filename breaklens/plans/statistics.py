@@ -76,7 +76,7 @@ _P = f"""{SINGLES}, z AS (SELECT *, sqrt(chi2/2) AS z FROM singles),
 
 @register("p_value", f"WITH {_P} SELECT field, round(chi2, 6) AS chi2, round(p, 9) AS p_value FROM pv")
 def p_value(spark, sf):
-    out = singles(spark, sf).select("field", "chi2", stats.chi2_p_value("chi2").alias("p_value"))
+    out = singles(spark, sf).select("field", "chi2", stats.chi2_p_value(F.col("chi2")).alias("p_value"))
     return out.select("field", F.round("chi2", 6).alias("chi2"), F.round("p_value", 9).alias("p_value"))
 
 
@@ -226,7 +226,7 @@ def break_rate_comparison(spark, sf):
 )
 def volcano_table(spark, sf):
     s = singles(spark, sf).select(
-        "field", "cramers_v", "lift", "rate_changed", stats.chi2_p_value("chi2").alias("p_value")
+        "field", "cramers_v", "lift", "rate_changed", stats.chi2_p_value(F.col("chi2")).alias("p_value")
     )
     log_p = F.when(F.col("p_value") > 0, F.round(-F.log10("p_value"), 4)).otherwise(F.lit(float("inf")))
     exact = [F.round(c, 6).alias(c) for c in ("cramers_v", "lift", "rate_changed")]

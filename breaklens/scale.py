@@ -75,10 +75,13 @@ def prefix_aggregate(
     bucket: str,
     aggs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
+    group_total: dict[str, str] | None = None,
 ) -> DataFrame:
     """Running sums / maxima per `by` along `order`, bucket by bucket.
 
     `bucket` must not decrease along `order`. Each value is name -> ('sum' | 'max', expression).
+    `group_total` (output name -> aggregate name) also adds the value over the whole group, which
+    the bucket totals give without another scan.
     """
     inputs = df.select("*", *[e.alias(f"_in_{n}") for n, (_, e) in aggs.items()])
     totals = inputs.groupBy(*by, bucket).agg(*[_AGG[k](f"_in_{n}").alias(f"_tot_{n}") for n, (k, _) in aggs.items()])
@@ -86,6 +89,7 @@ def prefix_aggregate(
     carry = totals.select(
         *[F.col(c).alias(f"_k_{c}") for c in [*by, bucket]],
         *[_AGG[k](f"_tot_{n}").over(before).alias(f"_carry_{n}") for n, (k, _) in aggs.items()],
+        *[_AGG[aggs[n][0]](f"_tot_{n}").over(W.partitionBy(*by)).alias(out) for out, n in (group_total or {}).items()],
     )
     inside = W.partitionBy(*by, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     local = inputs.select(
@@ -93,13 +97,18 @@ def prefix_aggregate(
     )
     on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, bucket]])
     return local.join(carry, on).select(
-        *df.columns, *[_COMBINE[k](F.col(f"_carry_{n}"), F.col(f"_local_{n}")).alias(n) for n, (k, _) in aggs.items()]
+        *df.columns,
+        *[_COMBINE[k](F.col(f"_carry_{n}"), F.col(f"_local_{n}")).alias(n) for n, (k, _) in aggs.items()],
+        *(group_total or {}),
     )
 
 
-def global_rank(df: DataFrame, by: list[str], order: list[Column], bucket: str, out: str = "_rank") -> DataFrame:
-    """Exact 1-based row number per `by` along `order`."""
-    return prefix_aggregate(df, by, order, bucket, {out: ("sum", F.lit(1).cast("bigint"))})
+def global_rank(
+    df: DataFrame, by: list[str], order: list[Column], bucket: str, out: str = "_rank", size: str | None = None
+) -> DataFrame:
+    """Exact 1-based row number per `by` along `order`, and the group size when `size` names a column."""
+    one = {out: ("sum", F.lit(1).cast("bigint"))}
+    return prefix_aggregate(df, by, order, bucket, one, group_total={size: out} if size else None)
 
 
 def lookback_blocks(

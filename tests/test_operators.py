@@ -38,7 +38,7 @@ def test_multi_hot_whole_items_only(spark):
 def test_two_by_two(spark):
     rows = [(0, 0)] * 30 + [(0, 1)] * 10 + [(1, 0)] * 8 + [(1, 1)] * 22
     s = sig(spark, rows, ["f"])
-    r = stats.chi2_individual(s, ["f"], "y").withColumn("p", stats.chi2_p_value("chi2")).first()
+    r = stats.chi2_individual(s, ["f"], "y").withColumn("p", stats.chi2_p_value(F.col("chi2"))).first()
     assert math.isclose(r["chi2"], 14.248732, abs_tol=1e-6) and math.isclose(r["p"], 1.6017e-4, rel_tol=1e-4)
     assert math.isclose(r["rate_changed"], 22 / 30) and r["rate_not_changed"] == 0.25
     assert math.isclose(r["lift"], 2.93333333, abs_tol=1e-6) and math.isclose(r["odds_ratio"], 8.25)
@@ -46,6 +46,13 @@ def test_two_by_two(spark):
     assert math.isclose(plain["chi2"], 16.137610, abs_tol=1e-6)
 
 
+def test_p_value_keeps_relative_precision(spark):
+    xs = [0.0, 1e-6, 0.3, 2.7, 3.84, 7.9, 8.1, 20.0, 80.0, 850.0, 1400.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", stats.chi2_p_value(F.col("x")).alias("p"))
+    for r in df.collect():
+        assert math.isclose(r["p"], math.erfc(math.sqrt(r["x"] / 2)), rel_tol=1e-9), r
+
+
 def test_constant_flag_keeps_its_row(spark):
     r = stats.chi2_individual(sig(spark, [(0, 0), (0, 1)], ["f"]), ["f"], "y").first()
     assert r["field"] == "f" and r["chi2"] is None and r["significance"] is None
