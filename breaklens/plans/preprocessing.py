@@ -250,18 +250,15 @@ def zscore_anomaly(spark, sf):
 
 @register(
     "peer_compare",
-    f"""WITH {TXN} SELECT txn_key, round(l_extendedprice - avg(l_extendedprice) OVER w, 4) AS gap_to_peers,
+    f"""WITH {TXN} SELECT txn_key, round((l_extendedprice - avg(l_extendedprice) OVER w)/stddev_samp(l_extendedprice) OVER w, 6) AS gap_in_deviations,
         round(l_extendedprice/avg(l_extendedprice) OVER w, 6) AS ratio_to_peers FROM txn WINDOW w AS (PARTITION BY custodian, security_type)""",
 )
 def peer_compare(spark, sf):
     t = txn(spark, sf, ["txn_key", "custodian", "security_type", "l_extendedprice"])
     out = prep.with_peer_stats(t, ["custodian", "security_type"], ["l_extendedprice"])
-    mean = F.col("l_extendedprice_peer_mean")
-    return out.select(
-        "txn_key",
-        F.round(F.col("l_extendedprice") - mean, 4).alias("gap_to_peers"),
-        F.round(F.try_divide(F.col("l_extendedprice"), mean), 6).alias("ratio_to_peers"),
-    )
+    x, mean, std = (F.col(f"l_extendedprice{s}") for s in ("", "_peer_mean", "_peer_std"))
+    gap, ratio = F.try_divide(x - mean, std), F.try_divide(x, mean)
+    return rounded(out.select("txn_key", gap.alias("gap_in_deviations"), ratio.alias("ratio_to_peers")))
 
 
 @register("encode_reconstruct")

@@ -5,8 +5,8 @@ import pytest
 from breaklens.plans import catalogue
 from tests.oracle import compare, connect
 
-# Statistics over few rows that the smallest scale leaves empty are checked at larger scales only.
-SMALL = [n for n in catalogue.ORACLE if n not in {"actionable_fields"}]
+# txn_key is not unique at the smallest scale, so folds by key are ambiguous there.
+SMALL = [n for n in catalogue.ORACLE if n not in {"rule_stability"}]
 
 
 @pytest.fixture(scope="module")
