@@ -165,3 +165,43 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
 def texts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
     raw = data.tobytes()
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+class Places:
+    """Open-addressing table from 64-bit hashes to whole numbers, looked up for whole arrays."""
+
+    def __init__(self, bits: int = 22):
+        self.bits, self.count = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.full(1 << bits, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The value of every hash, -1 where it has none."""
+        out = np.full(len(hashes), -1, np.int32)
+        todo = np.arange(len(hashes))
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            value, same = self.values[slot], self.keys[slot] == hashes[todo]
+            hit = same & (value >= 0)
+            out[todo[hit]] = value[hit]
+            on = ~same & (value >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct hashes that have no value yet; the table must stay under three quarters full."""
+        self.count += len(hashes)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        values = values.astype(np.int32)
+        while len(hashes):
+            free = self.values[slot] < 0
+            self.values[slot[free]] = values[free]
+            won = free & (self.values[slot] == values)
+            self.keys[slot[won]] = hashes[won]
+            hashes, values, slot = hashes[~won], values[~won], (slot[~won] + ~free[~won]) & ((1 << self.bits) - 1)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions starts[0] .. starts[0]+sizes[0]-1, starts[1] .. and so on."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
