@@ -9,7 +9,8 @@ pair of documents at the limit of 0.75 shares no bucket with probability (1 - 0.
 0.8 with 5e-7. Candidate pairs pass a 1-bit sketch (six standard deviations below the limit) and are then
 confirmed on their full sets.
 
-A bucket never emits all its pairs: each node is first compared with one centre, then buckets that still
+A bucket never emits all its pairs: each node is first compared with one centre (the member of its buckets
+whose own buckets are fullest), then buckets that still
 hold several components compare randomly chosen pivots, eight times as many in every round, with the
 members of other components. The rounds end when each bucket is one component or all its pivots are used,
 so no pair inside a bucket is left out and none inside a component is repeated. A node's round is drawn once for all
@@ -153,8 +154,7 @@ def _labels(base: DataFrame, nodes: DataFrame) -> DataFrame:
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size"))
     members = pin(
-        banded.join(shared.where("lo != hi").drop("hi"), "key").select("key", "node", "n", "lo", "size"),
-        "minhash-members",
+        banded.join(shared.where("lo != hi").drop("lo", "hi"), "key").select("key", "node", "n", "size"), "minhash-members"
     )
     largest = members.agg(F.max("size")).first()[0] or 1
     draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -170,8 +170,7 @@ def _labels(base: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     traits = pin(nodes.join(mine, "node").select("node", "n", "sketch"), "minhash-traits")
 
-    first = members.groupBy("node").agg(F.min("lo").alias("a")).where("a != node").select("a", F.col("node").alias("b"))
-    labels = pin(components(_verified(first, traits, full)), "minhash-labels")
+    labels = pin(components(_verified(_centred(members), traits, full)), "minhash-labels")
     last = members.agg(F.max("turn")).first()[0]
     for now in range((last if last is not None else -1) + 1):
         live = pin(_open(members.where(F.col("turn") >= now), labels), "minhash-open")
@@ -191,6 +190,18 @@ def _labels(base: DataFrame, nodes: DataFrame) -> DataFrame:
     return labels
 
 
+def _centred(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every node b with one centre a: of its buckets' members the one with the fullest buckets.
+
+    The text that a group's copies were made from shares more buckets with them than they do with each other.
+    """
+    fullness = members.groupBy("node").agg(F.sum("size").alias("fullness"))
+    place = F.struct("fullness", F.negate("node").alias("minus"))
+    centres = members.join(fullness, "node").groupBy("key").agg(F.max(place).alias("centre"))
+    best = members.join(centres, "key").groupBy("node").agg(F.max("centre").alias("centre"))
+    return best.select(F.negate("centre.minus").alias("a"), F.col("node").alias("b")).where("a != b")
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their labels, of the buckets that still hold several labels."""
     marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
