@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
 from breaklens.llm import text as T
 
@@ -275,6 +276,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return out.withColumnRenamed("_id", id_col)
 
 
+def _with_field(df: DataFrame, name: str, kind: DataType) -> StructType:
+    return StructType([*df.schema.fields, StructField(name, kind)])
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """`docs` with the ids of each text as array<int> in `out_col` (replaced if it exists); null texts have none."""
     base = docs.drop(out_col) if out_col != text_col else docs
@@ -285,8 +290,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
             columns = [*part.columns, pa.array([np.fromstring(i, np.int32, sep=" ") for i in ids], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, out_col])
 
-    fields = base.schema.add(out_col, "array<int>")
-    return base.mapInArrow(run, fields)
+    return base.mapInArrow(run, _with_field(base, out_col, ArrayType(IntegerType())))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -301,4 +305,4 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out_col: str = "d
                 got = _coder(path).decode_sequences([tuple(i or ()) for i in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*part.schema.names, out_col])
 
-    return base.mapInArrow(run, base.schema.add(out_col, "binary"))
+    return base.mapInArrow(run, _with_field(base, out_col, BinaryType()))

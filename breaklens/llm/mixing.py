@@ -49,7 +49,7 @@ def min_cost_flow(arcs: list[tuple[int, int, int, int]], start: int, end: int) -
 
     Shortest augmenting paths with node potentials; whole bottlenecks are sent at a time.
     """
-    heads: dict[int, list[int]] = {}
+    heads: dict[int, list[int]] = {start: [], end: []}
     to, room, cost = [], [], []
     for a, b, c, w in arcs:
         for x, y, r, k in ((a, b, c, w), (b, a, 0, -w)):
@@ -195,6 +195,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     sized = pin(word_sizes(one, "_id", "_m", "_t"), "mix-sizes")
     sizes, targets = source_plan(sized)
     flows = route({(s,): n for s, n in sizes.items()}, targets)
-    uses = select_mix(sized, flows).where("_size > 0 AND uses > 0").groupBy("_id").agg(F.max("uses").alias("_uses"))
-    again = docs.join(uses, F.col(id_col).eqNullSafe(F.col("_id")))
-    return again.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_uses")))).select(*docs.columns)
+    taken = select_mix(sized, flows).where("_size > 0 AND uses > 0").groupBy(F.col("_id").alias("__mix_id"))
+    again = docs.join(taken.agg(F.max("uses").alias("__mix_uses")), F.col(id_col).eqNullSafe(F.col("__mix_id")))
+    return again.withColumn("__mix_use", F.explode(F.sequence(F.lit(1), F.col("__mix_uses")))).select(*docs.columns)

@@ -7,6 +7,8 @@ children of differing nodes are compared, level by level, down to the damaged re
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def leaves(records: DataFrame) -> DataFrame:
     Null ids come first; equal ids stand in the order of their digests.
     """
     hashed = records.select("_id", F.octet_length("record").cast("bigint").alias("length"), F.sha2("record", 256).alias("digest"))
-    hashed = pin(hashed, "warc-records").withColumn("_order", F.coalesce(F.col("_id").cast("double"), F.lit(float("-inf"))))
+    hashed = pin(hashed, "warc-records").withColumn("_order", F.coalesce(F.col("_id").cast("double"), F.lit(-sys.float_info.max)))
     buckets = max(8, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cut = value_buckets(hashed, "_order", buckets)
     order = [F.asc_nulls_first("_id"), F.col("digest"), F.col("length")]
