@@ -34,15 +34,15 @@ LONGEST = 3  # words in a phrase
 LEAST = 10  # occurrences of a candidate
 COVERED = 50  # per cent of a candidate's occurrences inside a longer one that drop it
 FIRST = 2000  # rows reported per language
-SLICE = 8 << 20  # bytes of a slice, unless one text is longer
-RANGE = 1 << 21  # fingerprints in a range
+SLICE = 4 << 20  # bytes of a slice, unless one text is longer
+RANGE = 1 << 20  # fingerprints in a range
 SALTS = 16
 
 # A Mersenne prime and two bases below it, and the bytes of the word rule.
 PRIME = (1 << 31) - 1
 BASES = (1327217885, 742938285)
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
-CHUNK = 1 << 20  # CHUNK * 256 * PRIME stays below 2**63
+CHUNK = 1 << 17  # CHUNK * 256 * PRIME stays below 2**63
 
 
 def _times(x: np.ndarray, y: np.ndarray | np.uint64) -> np.ndarray:
@@ -194,9 +194,13 @@ def _counted(batches: Iterator[pa.RecordBatch], longest: int, ranges: int) -> It
         for i in range(batch.num_rows):
             grams = Grams(_open(batch.column(2)[i].as_py()), batch.column(1)[i].as_py())
             found = [np.unique(grams.of(k)[1], return_counts=True) for k in range(1, longest + 1)]
+            del grams
             keys = np.concatenate([f[0] for f in found])
+            counts = np.concatenate([f[1] for f in found])
+            del found
             order = np.argsort(keys)
-            keys, counts = keys[order], np.concatenate([f[1] for f in found])[order]
+            keys, counts = keys[order], counts[order]
+            del order
             cut = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
             some = np.flatnonzero(np.diff(cut))
             rows = {
@@ -216,7 +220,7 @@ def _answers(group: pa.Table, least: int) -> pa.Table:
     """(slice, keys): those fingerprints of each slice that occur `least` times over all slices."""
     parts = [_unpress(b, np.uint64) for b in group.column("keys").to_pylist()]
     keys = np.concatenate(parts)
-    own = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    own = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
     counts = np.concatenate([_unpress(b, np.uint64) for b in group.column("counts").to_pylist()])
     order = np.argsort(keys, kind="stable")
     keys, own, counts = keys[order], own[order], counts[order]
