@@ -59,7 +59,7 @@ def block_ids(texts):
     coder, out = bpe._coder(RANKS), []
     for _, data, offsets in T.blocks(pa.array(texts, pa.large_string()), bpe.BLOCK):
         place, at = coder.encode_block(data, offsets)
-        out += [[int(i) for k in place[a:b] for i in coder.texts[k].split()] for a, b in zip(at[:-1], at[1:])]
+        out += [coder.ids_of(place[a:b]).tolist() for a, b in zip(at[:-1], at[1:])]
     return out
 
 
