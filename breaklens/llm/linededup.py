@@ -35,7 +35,7 @@ def line_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     place = np.arange(len(words)) - np.repeat(at, to - at)
     total = np.zeros(len(words) + 1, np.uint64)
     top = int((to - at).max()) + 1 if len(at) else 1
-    np.cumsum(words * T.powers(T.MIX_1, top + 1)[place], out=total[1:])
+    np.cumsum(words * T.place_keys(21, top)[place], out=total[1:])
     return T.mix64(total[to] - total[at] + (to - at).astype(np.uint64)), to - at, l_first
 
 

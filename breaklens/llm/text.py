@@ -86,19 +86,6 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return per_text((data & 0xC0) != 0x80, offsets)
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and extended as needed."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        grow = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
-        grow[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(grow)
-    return have[:n]
-
-
 @cache
 def byte_codes(seed: int, lower: bool = False) -> np.ndarray:
     """A random odd 64-bit number per byte; with `lower`, A-Z share those of a-z."""
@@ -108,12 +95,39 @@ def byte_codes(seed: int, lower: bool = False) -> np.ndarray:
     return codes
 
 
+def place_keys(seed: int, most: int) -> np.ndarray:
+    """Random numbers for the places 0 .. most - 1 of a span (and some more): of the seed and the place alone."""
+    return _keys(seed, 1 << max(most - 1, 255).bit_length())
+
+
+@cache
+def _keys(seed: int, n: int) -> np.ndarray:
+    return mix64(mix64(np.arange(n, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(seed * MIX_1 & (1 << 64) - 1)))
+
+
+@cache
+def _byte_values(lower: bool) -> np.ndarray:
+    values = np.arange(1, 257, dtype=np.uint64)
+    if lower:
+        values[65:91] = values[97:123]
+    return values
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of data[start:end]; equal bytes give equal hashes wherever they stand."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_codes(seed, lower)[data] * powers(BASE, len(data)), out=total[1:])
-    inverse = powers(pow(BASE, -1, 2**64), len(data) + 1)
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(GOLDEN))
+    """64-bit hashes of data[start:end]; equal bytes give equal hashes wherever they stand.
+
+    The spans ascend and do not overlap. The hash is multilinear: every place of a span has its own random
+    factor, so two unequal spans collide with a chance below 2**-56 whatever their content.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    keys = place_keys(seed, int((ends - starts).max()))
+    first, last = int(starts[0]), int(ends[-1])
+    place = np.arange(first, last) - np.repeat(starts, np.diff(np.append(starts, last)))
+    np.minimum(place, len(keys) - 1, out=place)  # what lies between spans
+    total = np.zeros(last - first + 1, np.uint64)
+    np.cumsum(_byte_values(lower)[data[first:last]] * keys[place], out=total[1:])
+    return mix64(total[ends - first] - total[starts - first] + (ends - starts).astype(np.uint64) * np.uint64(GOLDEN))
 
 
 def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -162,11 +176,6 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.
     return out, out_first
 
 
-def texts_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-
-
 class Places:
     """Open-addressing table from 64-bit hashes to whole numbers, looked up for whole arrays."""
 
