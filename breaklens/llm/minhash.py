@@ -9,12 +9,14 @@ pair of documents at the limit of 0.75 shares no bucket with probability (1 - 0.
 0.8 with 5e-7. Candidate pairs pass a 1-bit sketch (six standard deviations below the limit) and are then
 confirmed on their full sets.
 
-A bucket never emits all its pairs: each node is first compared with one centre (the member of its buckets
-whose own buckets are fullest), then buckets that still
-hold several components compare randomly chosen pivots, eight times as many in every round, with the
-members of other components. The rounds end when each bucket is one component or all its pivots are used,
-so no pair inside a bucket is left out and none inside a component is repeated. A node's round is drawn once for all
-its buckets, so a pair that shares several buckets is compared in one round only.
+A bucket never emits all its pairs: each node is first compared with one centre (the member of its buckets whose
+own buckets are fullest). Nodes of buckets that still hold several components are then joined by an exact
+prefix filter over their full sets, which loses no pair at the limit: shingles whose holders are all of one
+component come first in every set, the others from rare to frequent, and two sets of the limit share one of their
+first n - ceil(0.75 n) + 1. At their first common shingle what is left of both sets must still reach the overlap
+that the limit asks for, so a set with many shingles of its own only meets much smaller ones; sizes are part of the
+join key. Of a shingle's holders only those outside its most frequent component meet all others. Texts that merely
+stem from one origin therefore do not meet, and neither do members of one component.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ COORDINATES = ROWS * BANDS
 SKETCH_LONGS = -(-COORDINATES // 64)
 LIMIT = 75  # per cent
 MOST_BITS_APART = 70  # of COORDINATES; 36 are expected at the limit, with a deviation of 5.6
-GROWTH = 8
+CLASS = 1.1  # ratio of the sizes that share a class
 
 
 @cache
@@ -156,10 +158,6 @@ def _labels(base: DataFrame, nodes: DataFrame) -> DataFrame:
     members = pin(
         banded.join(shared.where("lo != hi").drop("lo", "hi"), "key").select("key", "node", "n", "size"), "minhash-members"
     )
-    largest = members.agg(F.max("size")).first()[0] or 1
-    draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    turn = F.floor(F.log(float(GROWTH), draw * float(largest * (GROWTH - 1)) + 1)).cast("int")
-    members = members.withColumn("turn", turn)
     mine = members.select("node").distinct()
     wanted = nodes.join(mine, "node").select("node", "digest", "rep")
     full = pin(
@@ -171,23 +169,43 @@ def _labels(base: DataFrame, nodes: DataFrame) -> DataFrame:
     traits = pin(nodes.join(mine, "node").select("node", "n", "sketch"), "minhash-traits")
 
     labels = pin(components(_verified(_centred(members), traits, full)), "minhash-labels")
-    last = members.agg(F.max("turn")).first()[0]
-    for now in range((last if last is not None else -1) + 1):
-        live = pin(_open(members.where(F.col("turn") >= now), labels), "minhash-open")
-        if live.isEmpty():
-            break
-        pivots = live.where(F.col("turn") == now).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label")])
-        pairs = (
-            pivots.join(live, "key")
-            .where("label_a != label AND node_a != node")
-            .where((F.col("turn") > now) | (F.col("node_a") < F.col("node")))
-            .where(100 * F.least("n", "n_a") >= LIMIT * F.greatest("n", "n_a"))
-            .select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b"))
-            .distinct()
-        )
-        found = _verified(pairs, traits, full)
-        labels = pin(components(found.union(labels.select("node", "label"))), "minhash-labels")
-    return labels
+    live = pin(_open(members, labels), "minhash-open")
+    found = _verified(_prefix_pairs(live, full), traits, full)
+    return components(found.union(labels.select("node", "label")))
+
+
+def _prefix_pairs(live: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, label) of unequal labels that may reach the limit; none that reaches it is left out."""
+    items = pin(full.join(live, "node").select("node", "n", "label", F.explode("items").alias("item")), "minhash-items")
+    counts = items.groupBy("item", "label").agg(F.count("*").alias("c"))
+    common = counts.groupBy("item").agg(F.sum("c").alias("holders"), F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most"))
+    crossing = items.join(common.where("labels > 1").drop("labels"), "item")
+    in_order = crossing.groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("holders", "item", "most"))).alias("shared"))
+    own = F.col("n") - F.size("shared")  # shingles that no other component has come first
+    prefix = F.col("n") - F.ceil(F.col("n") * LIMIT / 100.0) + 1
+    heads = in_order.withColumn("keep", F.greatest(prefix - own, F.lit(0)).cast("int")).where("keep > 0")
+    heads = heads.select("node", "n", "label", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), F.col("keep"))).alias("at", "s"))
+    heads = pin(
+        heads.select("node", "n", "label", (F.col("n") - F.col("own") - F.col("at")).alias("left"), "s.item", (F.col("s.most") != F.col("label")).alias("minor")),
+        "minhash-heads",
+    )
+    # o common shingles of n and m reach the limit if (100 + LIMIT) * o >= LIMIT * (n + m)
+    least = F.ceil(F.col("n") * LIMIT / 100.0)
+    most = F.least(F.col("n"), F.floor((100 + LIMIT) * F.col("left") / LIMIT) - F.col("n"))
+    asks = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("left").alias("left_b"), "item", (~F.col("minor")).alias("outsiders"), least.alias("least"), most.alias("most"))
+    asks = asks.where("least <= most").withColumn("class", F.explode(F.sequence(_class("least"), _class("most"))))
+    both = F.when(F.col("minor"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    meets = heads.select(F.col("node").alias("a"), "n", "label", "left", "item", F.explode(both).alias("outsiders"), _class("n").alias("class"))
+    pairs = (
+        asks.join(meets, ["item", "class", "outsiders"])
+        .where("label != label_b AND n >= least AND n <= most AND (n < n_b OR a < b)")
+        .where((100 + LIMIT) * F.least("left", "left_b") >= LIMIT * (F.col("n") + F.col("n_b")))
+    )
+    return pairs.select("a", "b").distinct()
+
+
+def _class(c: str) -> Column:
+    return F.floor(F.log(CLASS, F.col(c).cast("double")) + 1e-9).cast("int")
 
 
 def _centred(members: DataFrame) -> DataFrame:
@@ -203,10 +221,10 @@ def _centred(members: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their labels, of the buckets that still hold several labels."""
+    """(node, n, label) of the nodes in buckets that still hold several labels."""
     marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = marked.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h")
-    return marked.join(several.select("key"), "key", "left_semi")
+    return marked.join(several.select("key"), "key", "left_semi").select("node", "n", "label").distinct()
 
 
 def _apart(x: str, y: str) -> Column:
@@ -232,10 +250,15 @@ def _verified(pairs: DataFrame, traits: DataFrame, full: DataFrame) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are kept: of every component one row, a representative with its smallest id.
+    """One row of every component: the one with the smallest id, and of rows that share it the one with the smallest set digest.
 
-    Rows that repeat an id keep one row where that id is the component's smallest.
+    Rows without words are kept, and so is every component that has null ids only, by one row. Columns of any
+    name are passed on; what the stage adds is dropped again.
     """
-    marked = near_duplicates(docs, id_col, text_col)
-    firsts = marked.where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(firsts, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    base = pin(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.monotonically_increasing_id().alias("_row")), "minhash-docs")
+    marked = near_duplicates(base, "_row", names[text_col])
+    rows = base.select("_row", F.col(names[id_col]).alias("_name")).join(marked.withColumnRenamed("component_id", "_group"), "_row")
+    best = F.struct(F.col("_name").isNull().alias("none"), "_name", "_row")
+    kept = rows.groupBy("_group").agg(F.min(best).alias("best")).select(F.col("best._row").alias("_row"))
+    return base.join(kept, "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])
