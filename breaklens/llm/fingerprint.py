@@ -1,10 +1,11 @@
 """Homomorphic multiset hash of documents.
 
-Every paragraph (a \\n-split piece) adds a wide vector of DENSE lanes modulo 2**64, and every sentence of it
-one 16-bit value to a lane of the stratum that its hash draws (stratum k with probability 2**-(k+1)). Sums
-do not depend on order, so fingerprints of parts add up, and a paragraph is inserted or deleted by adding or
-subtracting its own fingerprint. Equal texts have equal fingerprints; texts whose paragraphs are permuted do
-too. The strata estimate how many sentences two fingerprints do not share.
+A fingerprint is the sum of wide vectors hashed from a text's paragraphs (\\n-split pieces): DENSE lanes modulo
+2**64, the number of sentences modulo 2**32, and LANES lanes modulo 2**16 to which every sentence of the paragraph
+adds plus or minus one. All of it adds up: the order of paragraphs does not matter, and a paragraph is inserted
+or deleted by adding or subtracting its own fingerprint. Equal texts have equal fingerprints; texts whose
+paragraphs are permuted do too. The sum over the signed lanes of the product of two fingerprints estimates the
+number of common sentences, with a deviation of about one part in the square root of LANES.
 """
 
 from __future__ import annotations
@@ -15,25 +16,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from breaklens.llm import text as T
+from breaklens.scale import value_buckets
 
-DENSE, STRATA, LANES = 4, 6, 16
-SPARSE = STRATA * LANES
-BYTES = 8 * DENSE + 4 + 2 * SPARSE
+DENSE, LANES = 4, 384
+BYTES = 8 * DENSE + 4 + 2 * LANES
+ONCE = 8192  # sentences that are spread over the lanes at once
 
 
-def _unit_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sentence pieces: cut after every line break and full stop, and at the texts' ends."""
-    cuts = np.flatnonzero((data == 10) | (data == 46)) + 1
-    starts = np.unique(np.concatenate([offsets[:-1], cuts]))
-    starts = starts[starts < len(data)]
-    return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
+def _sentences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the sentences of all lines: cut behind every full stop, without a leading space, none empty."""
+    stops = np.flatnonzero(data == 46) + 1
+    line = np.searchsorted(start, stops, "left") - 1
+    stops = stops[(line >= 0) & (stops < end[np.maximum(line, 0)])]
+    starts = np.sort(np.concatenate([start[start < end], stops]))
+    ends = np.sort(np.concatenate([end[start < end], stops]))
+    starts = starts + (data[starts] == 32)
+    return starts[starts < ends], ends[starts < ends]
+
+
+def _signs(units: np.ndarray) -> np.ndarray:
+    """units x LANES matrix of plus and minus one."""
+    words = [T.mix64(units + np.uint64((k + 1) * T.GOLDEN % 2**64)) for k in range(LANES // 64)]
+    bits = np.unpackbits(np.stack(words, axis=1).astype("<u8").view(np.uint8), axis=1)
+    return (bits.astype(np.int8) << 1) - 1
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of BYTES bytes per text: dense lanes, number of sentences, sparse lanes (all little-endian)."""
+    """One row of BYTES bytes per text: dense lanes, number of sentences, signed lanes (all little-endian)."""
     texts = len(offsets) - 1
     start, end, first = T.line_spans(data, offsets)
     hashes = T.span_hashes(data, start, end, 11)
@@ -42,44 +56,49 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(T.mix64(hashes + np.uint64((k + 1) * T.GOLDEN % 2**64)), out=total[1:])
         dense[:, k] = total[first[1:]] - total[first[:-1]]
-    start, end, first = _unit_spans(data, offsets)
+    start, end = _sentences(data, start, end)
     units = T.span_hashes(data, start, end, 12)
-    low = units & np.uint64(2**STRATA - 1)
-    stratum = np.minimum(np.log2((low & (~low + np.uint64(1))).astype(np.float64), where=low > 0, out=np.full(len(low), float(STRATA))), STRATA - 1)
-    lane = stratum.astype(np.int64) * LANES + ((units >> np.uint64(16)) & np.uint64(LANES - 1)).astype(np.int64)
-    value = ((units >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.float64)
-    sums = np.bincount(T.owner(first) * SPARSE + lane, value, texts * SPARSE).reshape(texts, SPARSE)
-    sparse = (sums % 65536).astype("<u2")
-    count = np.diff(first).astype("<u4")
-    parts = (dense.astype("<u8").view(np.uint8), count.view(np.uint8).reshape(texts, 4), sparse.view(np.uint8))
+    own = np.searchsorted(offsets, start, "right") - 1
+    lanes = np.zeros((texts, LANES), np.int32)
+    for at in range(0, len(units), ONCE):
+        part = own[at : at + ONCE]
+        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        lanes[part[heads]] += np.add.reduceat(_signs(units[at : at + ONCE]), heads, axis=0, dtype=np.int32)
+    count = np.bincount(own, minlength=texts).astype("<u4")
+    parts = (dense.astype("<u8").view(np.uint8), count.view(np.uint8), lanes.astype("<i2").view(np.uint8))
     return np.concatenate([p.reshape(texts, -1) for p in parts], axis=1)
 
 
-def combine(one: np.ndarray, two: np.ndarray, sign: int = 1) -> np.ndarray:
-    """Fingerprints of the multiset sums (sign 1) or differences (sign -1) of two sets of rows."""
+_PARTS = (("<u8", DENSE), ("<u4", 1), ("<i2", LANES))
+
+
+def _lanes(prints: np.ndarray) -> list[np.ndarray]:
+    """Dense lanes, number of sentences and signed lanes of rows of fingerprints."""
     out, at = [], 0
-    for kind, n in (("<u8", DENSE), ("<u4", 1), ("<u2", SPARSE)):
+    for kind, n in _PARTS:
         to = at + np.dtype(kind).itemsize * n
-        a, b = (np.ascontiguousarray(x[:, at:to]).view(kind) for x in (one, two))
-        out.append((a + b if sign > 0 else a - b).view(np.uint8))
+        out.append(np.ascontiguousarray(prints[:, at:to]).view(kind))
         at = to
-    return np.concatenate(out, axis=1)
+    return out
+
+
+def combine(one: np.ndarray, two: np.ndarray, sign: int = 1) -> np.ndarray:
+    """Fingerprints of the multiset sums (sign 1) or differences (sign -1) of two sets of rows."""
+    return np.concatenate([(a + b if sign > 0 else a - b).view(np.uint8) for a, b in zip(_lanes(one), _lanes(two))], axis=1)
 
 
 def likeness(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Estimated share of common sentences, 0 to 1; 1 for equal fingerprints."""
-    count = sum(np.ascontiguousarray(x[:, 8 * DENSE : 8 * DENSE + 4]).view("<u4")[:, 0].astype(float) for x in (one, two))
-    a, b = (np.ascontiguousarray(x[:, 8 * DENSE + 4 :]).view("<u2").reshape(-1, STRATA, LANES) for x in (one, two))
-    differ = (a != b).sum(axis=2).astype(float)
-    # most likely number of sentences that only one side has: a lane differs with 1 - exp(-number * share)
-    number = np.geomspace(0.5, 1e7, 400)
-    share = np.array([2.0 ** -min(k + 1, STRATA - 1) for k in range(STRATA)]) / LANES
-    rate = np.outer(share, number)
-    fit = differ @ np.log(-np.expm1(-rate)) - (LANES - differ) @ rate
-    apart = np.where(differ.any(axis=1), number[fit.argmax(axis=1)], 0.0)
-    near = np.clip(1 - apart / np.maximum(count, 1), 0, 1)
+    """Estimated cosine of the sentence counts, 0 to 1; 1 for equal fingerprints.
+
+    For texts without repeated sentences it is the common sentences over the geometric mean of both numbers.
+    """
+    (_, n, a), (_, m, b) = _lanes(one), _lanes(two)
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    # lanes of a text have the square sum of its sentence counts as their mean square
+    size = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    near = np.where(size > 0, (a * b).sum(axis=1) / np.where(size > 0, size, 1), 0.0)
     same = (one == two).all(axis=1)
-    return np.where(same, 1.0, near)
+    return np.where(same, 1.0, np.clip(near, 0, 1))
 
 
 def _of_texts(texts: list[str]) -> np.ndarray:
@@ -131,29 +150,28 @@ def _result(own: list, followers: list, ids: pa.Array) -> pa.RecordBatch:
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    The next document is the next in descending id order (null ids last, equal ids by text), the first one
-    after the last. Null texts are empty. The texts are dealt into id ranges once; each range also gets a
-    copy of the next range's first row.
+    The next document is the next in descending id order, the first one after the last. Null ids come last;
+    they, and equal ids, stand in the order of a hash of their texts. Null texts are empty; ids are numbers.
+    The texts are shuffled once, into ranges of the order (null ids into as many ranges of their hash); each
+    range also gets a copy of the next range's first row, from a table with one row per range.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    kind = base.schema["_id"].dataType
+    if not isinstance(kind, NumericType):
+        raise ValueError(f"ids must be numbers, not {kind.simpleString()}")
     n = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = base.select(F.col("_id").cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.2 / n)
-    edges = sorted(set(edges))
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: F.col("_id").cast("double") < e)) if edges else F.lit(0)
-    part = F.coalesce(F.when(F.col("_id").isNull(), F.lit(len(edges) + 1)), part).cast("int")
-    placed = base.withColumn("part", part)
-    heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.max("_id").alias("head")).collect()}
-    filled = sorted(heads)
-    place = F.array(F.struct("part", F.lit(False).alias("copy")))
-    twice = place
-    for before, own in zip(filled[-1:] + filled[:-1], filled):
-        extra = F.array(F.struct(F.lit(before).cast("int").alias("part"), F.lit(True).alias("copy")))
-        hit = (F.col("part") == own) & F.col("_id").eqNullSafe(F.lit(heads[own]))
-        twice = F.when(hit, F.concat(place, extra)).otherwise(twice)
-    dealt = placed.withColumn("_place", F.explode(twice)).select("_place.part", "_place.copy", "_id", "_text")
-    dealt = dealt.repartitionById(len(edges) + 2, "part") if hasattr(dealt, "repartitionById") else dealt.repartition(len(edges) + 2, "part")
-    dealt = dealt.sortWithinPartitions("part", "copy", F.desc_nulls_last("_id"), "_text")
-    kind = base.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(_compare, schema).withColumnRenamed("_id", id_col)
+    cut = value_buckets(base, "_id", n, "_bucket").withColumn("_tie", F.xxhash64("_text"))
+    of_null = F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * n)
+    part = F.when(F.col("_id").isNull(), n + of_null).otherwise(n - F.col("_bucket")).cast("bigint")
+    placed = cut.select(part.alias("part"), F.struct(F.col("_id").isNull().alias("none"), (-F.col("_id")).alias("minus"), "_tie").alias("place"), "_id", "_text")
+    heads = placed.groupBy("part").agg(F.min("place").alias("head"))
+    ranges = W.orderBy("part")  # one row per range
+    around = F.coalesce(F.lag("part").over(ranges), F.max("part").over(ranges.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    heads = heads.select("part", "head", around.alias("before"))
+    firsts = placed.join(heads, "part").where(F.col("place").eqNullSafe(F.col("head")))
+    dealt = placed.withColumn("copy", F.lit(False)).select("part", "copy", "place", "_id", "_text")
+    dealt = dealt.union(firsts.select(F.col("before"), F.lit(True), "place", "_id", "_text"))
+    dealt = dealt.repartition(2 * n + 1, "part").sortWithinPartitions("part", "copy", "place", "_text")
+    schema = f"_id {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return dealt.select("part", "copy", "_id", "_text").mapInArrow(_compare, schema).withColumnRenamed("_id", id_col)

@@ -15,7 +15,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breaklens.llm import text as T
@@ -25,7 +25,6 @@ from breaklens.session import pin
 REPEATS = 3  # a token is used this often at most
 COSTS = (0, 1, 3)  # of the first, second and third use
 SEED = 42
-FILLS = 2  # further offers of what is left of a quota
 
 
 def shared_targets(weights: dict, sizes: dict, total: float, most: float = REPEATS) -> dict:
@@ -115,38 +114,64 @@ def word_sizes(docs: DataFrame, id_col: str, member_col: str, text_col: str) ->
     return base.mapInArrow(measure, f"_id {kinds['_id']}, _members {kinds['_members']}, _size bigint")
 
 
-def select_mix(sized: DataFrame, flows: dict[tuple, dict]) -> DataFrame:
-    """Rows of `sized` (_id, _members, _size) with `uses`: how often each is taken over all sources.
+def _plan(spark: SparkSession, flows: dict[tuple, dict]) -> DataFrame:
+    """(_pattern, _source, _from, _to): what every source (spelled out) gets of a pattern, as intervals of its tokens."""
+    rows = []
+    for p, by_source in flows.items():
+        at = 0
+        for s, f in by_source.items():
+            if f:
+                rows.append((list(p), "n" if s is None else f"s{s}", int(at), int(at + f)))
+                at += f
+    plan = spark.createDataFrame(rows, "_pattern array<string>, _source string, _from bigint, _to bigint")
+    return plan.withColumn("_pattern", F.concat_ws("\x01", F.transform("_pattern", _spelled)))
+
 
-    A pattern with T tokens that gives f tokens in total repeats all its documents f // T times and takes
-    documents in seeded order while they fit in the rest. What the first one that does not fit leaves open
-    is offered, in the same order, to the documents that are small enough, FILLS times. Rows that repeat an
-    id come in an order of their own by size.
+def select_mix(sized: DataFrame, flows: dict[tuple, dict]) -> DataFrame:
+    """(_id, _members, _size, source, uses) of the rows of `sized` (_id, _members, _size): how often each source takes them.
+
+    The uses of a pattern's documents lie on a line: all first uses in seeded order, then all second ones, and
+    so on. Every source gets an interval as long as its flow, and takes the uses that lie inside. What is then
+    missing is offered, in seeded order, to the documents of the source's largest pattern that fit and have
+    uses left, until none fits (of the sources that share a pattern, the one that misses most comes first); at
+    last one more use of the smallest document is taken where that brings the sum nearer. Documents without
+    words are not taken; rows that repeat an id are rows of their own. Rows that no source takes have a null
+    source and no uses.
     """
-    given = {p: sum(f.values()) for p, f in flows.items()}
     spark = sized.sparkSession
-    rows = [(list(p), int(g)) for p, g in given.items()]
-    plan = spark.createDataFrame(rows, "_pattern array<string>, _given bigint")
-    plan = plan.select(F.concat_ws("\x01", F.transform("_pattern", _spelled)).alias("_pattern"), "_given")
+    plan = _plan(spark, flows)
     draw = F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 40))
     marked = sized.withColumn("_draw", draw).withColumn("_part", F.shiftright("_draw", 28).cast("int"))
-    marked = marked.withColumn("_pattern", F.concat_ws("\x01", F.transform("_members", _spelled)))
-    total = marked.groupBy("_pattern").agg(F.sum("_size").alias("_total"))
-    whole = F.when(F.col("_total") > 0, F.floor(F.col("_given") / F.greatest("_total", F.lit(1)))).otherwise(0)
-    facts = total.join(plan, "_pattern").select("_pattern", whole.cast("bigint").alias("_whole"))
-    # one row per membership pattern
-    state = pin(marked.join(F.broadcast(facts), "_pattern").withColumn("uses", F.col("_whole")), "mix-uses")
-    order = [F.col("_draw"), F.col("_id"), F.col("_size")]
-    for _ in range(1 + FILLS):
-        taken = state.groupBy("_pattern").agg(F.sum(F.col("uses") * F.col("_size")).alias("_taken"))
-        gap = taken.join(plan, "_pattern").select("_pattern", (F.col("_given") - F.col("_taken")).alias("_gap"))
-        fits = (F.col("uses") == F.col("_whole")) & (F.col("uses") < REPEATS) & (F.col("_size") <= F.col("_gap"))
-        offered = state.join(F.broadcast(gap), "_pattern").withColumn("_fits", fits)
-        sums = {"_upto": ("sum", F.when(F.col("_fits"), F.col("_size")).otherwise(0))}
-        ranked = prefix_aggregate(offered, ["_pattern"], order, "_part", sums)
-        more = (F.col("_fits") & (F.col("_upto") <= F.col("_gap"))).cast("bigint")
-        state = pin(ranked.withColumn("uses", F.col("uses") + more).select(*state.columns), "mix-uses")
-    return state.select("_id", "_members", "_size", "uses")
+    marked = marked.withColumn("_pattern", F.concat_ws("\x01", F.transform("_members", _spelled))).withColumn("_row", F.monotonically_increasing_id())
+    marked = pin(marked, "mix-rows")
+    order = [F.col("_draw"), F.col("_id"), F.col("_size"), F.col("_row")]
+    placed = prefix_aggregate(marked, ["_pattern"], order, "_part", {"_end": ("sum", F.col("_size"))}, group_total={"_total": "_end"})
+    uses = placed.where("_size > 0").withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    end = F.col("_turn") * F.col("_total") + F.col("_end")
+    inside = uses.withColumn("_stop", end).join(plan, "_pattern").where("_stop - _size >= _from AND _stop <= _to")
+    taken = pin(inside.groupBy("_row", "_source").agg(F.count("*").alias("uses")), "mix-uses")
+
+    # the source that has most of a pattern's flow may fill up from it
+    wanted = plan.groupBy("_source").agg(F.sum(F.col("_to") - F.col("_from")).alias("_wanted"), F.max_by("_pattern", F.struct(F.col("_to") - F.col("_from"), "_pattern")).alias("_pattern"))
+    sizes = marked.select("_row", "_pattern", "_part", *[c for c in ("_draw", "_id", "_size")]).where("_size > 0")
+    while True:
+        used = taken.groupBy("_row").agg(F.sum("uses").alias("_used"))
+        got = taken.join(sizes, "_row").groupBy("_source").agg(F.sum(F.col("uses") * F.col("_size")).alias("_got"))
+        gaps = wanted.join(got, "_source", "left").select("_source", "_pattern", (F.col("_wanted") - F.coalesce("_got", F.lit(0))).alias("_gap")).where("_gap > 0")
+        gaps = gaps.groupBy("_pattern").agg(F.max(F.struct("_gap", "_source")).alias("g")).select("_pattern", "g._gap", "g._source")
+        open_ = sizes.join(gaps, "_pattern").join(used, "_row", "left").where(F.coalesce("_used", F.lit(0)) < REPEATS)
+        open_ = pin(open_.select(*sizes.columns, "_source", "_gap"), "mix-open")
+        fits = open_.where("_size <= _gap")
+        more = prefix_aggregate(fits, ["_source"], order, "_part", {"_upto": ("sum", F.col("_size"))}).where("_upto <= _gap")
+        more = pin(more.select("_row", "_source", F.lit(1).cast("bigint").alias("uses")), "mix-more")
+        if more.isEmpty():
+            break
+        taken = pin(taken.union(more).groupBy("_row", "_source").agg(F.sum("uses").alias("uses")), "mix-uses")
+    least = open_.groupBy("_source").agg(F.min(F.struct("_size", "_draw", "_row")).alias("b"), F.min("_gap").alias("_gap"))
+    last = least.where("b._size < 2 * _gap").select(F.col("b._row").alias("_row"), "_source", F.lit(1).cast("bigint").alias("uses"))
+    taken = taken.union(last).groupBy("_row", "_source").agg(F.sum("uses").alias("uses"))
+    out = marked.join(taken, "_row", "left")
+    return out.select("_row", "_id", "_members", "_size", F.when(F.col("_source") != "n", F.substr("_source", F.lit(2))).alias("source"), F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 def _spelled(x):
@@ -176,7 +201,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     schema = "_spelled string, _source_size bigint, _target double"
     facts = [("n" if s is None else f"s{s}", sizes[s], float(targets[s])) for s in sizes]
     facts = sized.sparkSession.createDataFrame(facts, schema)
-    out = chosen.withColumn("_spelled", _spelled(F.col("_members")[0])).join(F.broadcast(facts), "_spelled")
+    out = chosen.withColumn("_spelled", _spelled(F.col("_members")[0])).join(facts, "_spelled")
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
