@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,6 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keep a step of an iteration on the executors' disks; what a lost executor held is computed again.
+
+    Unlike `pin` it writes no files to the shared folder. Call unpersist() when the next step stands.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def pin(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder as Parquet and read back, for results that many jobs reuse."""
     spark = df.sparkSession
