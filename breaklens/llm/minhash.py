@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from breaklens.llm import text as T
 from breaklens.llm.graph import components
-from breaklens.session import pin
+from breaklens.session import held, pin
 
 ROWS, BANDS, PLACES = 6, 48, 22
 COORDINATES = ROWS * BANDS
@@ -166,17 +166,19 @@ def _labels(base: DataFrame, nodes: DataFrame) -> DataFrame:
         .mapInArrow(_full_sets, "node bigint, items array<bigint>"),
         "minhash-sets",
     )
-    traits = pin(nodes.join(mine, "node").select("node", "n", "sketch"), "minhash-traits")
-
-    labels = pin(components(_verified(_centred(members), traits, full)), "minhash-labels")
-    live = pin(_open(members, labels), "minhash-open")
-    found = _verified(_prefix_pairs(live, full), traits, full)
-    return components(found.union(labels.select("node", "label")))
-
-
-def _prefix_pairs(live: DataFrame, full: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes (node, n, label) of unequal labels that may reach the limit; none that reaches it is left out."""
-    items = pin(full.join(live, "node").select("node", "n", "label", F.explode("items").alias("item")), "minhash-items")
+    traits = nodes.select("node", "n", "sketch")
+    labels = components(_verified(_centred(members), traits, full))
+    items, heads = _heads(_open(members, labels), full)
+    found = _verified(_pairs(heads), traits, full)
+    out = components(found.union(labels.select("node", "label")))
+    for step in (items, heads):
+        step.unpersist()
+    return out
+
+
+def _heads(live: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shingles of the nodes (node, n, label), and those of every node's prefix that another component has as well."""
+    items = held(full.join(live, "node").select("node", "n", "label", F.explode("items").alias("item")))
     counts = items.groupBy("item", "label").agg(F.count("*").alias("c"))
     common = counts.groupBy("item").agg(F.sum("c").alias("holders"), F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most"))
     crossing = items.join(common.where("labels > 1").drop("labels"), "item")
@@ -185,10 +187,12 @@ def _prefix_pairs(live: DataFrame, full: DataFrame) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.col("n") * LIMIT / 100.0) + 1
     heads = in_order.withColumn("keep", F.greatest(prefix - own, F.lit(0)).cast("int")).where("keep > 0")
     heads = heads.select("node", "n", "label", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), F.col("keep"))).alias("at", "s"))
-    heads = pin(
-        heads.select("node", "n", "label", (F.col("n") - F.col("own") - F.col("at")).alias("left"), "s.item", (F.col("s.most") != F.col("label")).alias("minor")),
-        "minhash-heads",
-    )
+    left = (F.col("n") - F.col("own") - F.col("at")).alias("left")
+    return items, held(heads.select("node", "n", "label", left, "s.item", (F.col("s.most") != F.col("label")).alias("minor")))
+
+
+def _pairs(heads: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of unequal labels that may reach the limit; none that reaches it is left out."""
     # o common shingles of n and m reach the limit if (100 + LIMIT) * o >= LIMIT * (n + m)
     least = F.ceil(F.col("n") * LIMIT / 100.0)
     most = F.least(F.col("n"), F.floor((100 + LIMIT) * F.col("left") / LIMIT) - F.col("n"))
