@@ -7,6 +7,8 @@ bucket totals forward (a table of groups x buckets rows) and finish inside the b
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -44,16 +46,84 @@ def hash_bucket(hash_col: str, buckets: int) -> Column:
     return F.floor(F.col(hash_col) * F.lit(buckets).cast("bigint") / F.lit(HASH_PRIME)).cast("int")
 
 
+#: Histogram rows that reach the driver in one round, whatever the data and the number of open ranges.
+HISTOGRAM = 1 << 15
+
+
+@dataclass
+class Run:
+    """Rows of a column with low <= value <= high, `before` of them below; all equal if low == high."""
+
+    low: float
+    high: float
+    before: int
+    rows: int
+
+
+def _ends(df: DataFrame, cols: list[str]) -> dict[str, list[Run]]:
+    row = df.agg(*[f(_number(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("a", F.min), ("b", F.max))]).first()
+    return {c: [Run(row[f"a{i}"], row[f"b{i}"], 0, row[f"n{i}"])] if row[f"n{i}"] else [] for i, c in enumerate(cols)}
+
+
+def _number(c: str) -> Column:
+    """The column as a double; NaN is missing."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _split(df: DataFrame, open_: dict[str, list[Run]]) -> dict[tuple[str, int], list[Run]]:
+    """The runs of equal-width bins of every open run, by one grouped count.
+
+    The lowest and the highest value always fall into different bins, so each run becomes shorter.
+    """
+    bins = max(2, HISTOGRAM // sum(len(runs) for runs in open_.values()))
+    cols = list(open_)
+    splits = []
+    for c in cols:
+        edges = sorted({e for r in open_[c] for e in (r.low, math.nextafter(r.high, math.inf))})
+        splits.append([-math.inf, *([e for e in edges if math.isfinite(e)] or [0.0]), math.inf])
+    inputs = df.select(*[_number(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    names = [f"x{i}" for i in range(len(cols))]
+    cells = Bucketizer(splitsArray=splits, inputCols=names, outputCols=[f"c{i}" for i in range(len(cols))], handleInvalid="keep").transform(inputs)
+    items = []
+    for i, c in enumerate(cols):
+        at = [next((k for k, r in enumerate(open_[c]) if r.low <= e <= r.high), -1) for e in splits[i][:-1]]
+        half = [(r.low / 2, r.high / 2) for r in open_[c]]
+        run = F.get(F.lit(at), F.col(f"c{i}").cast("int"))
+        low, high = (F.get(F.lit([getattr(r, e) for r in open_[c]]), run) for e in ("low", "high"))
+        # halves, since the width of a run may not fit a double
+        scale = F.get(F.lit([(bins / (b - a) if b - a > 0 else 0.0) for a, b in half]), run)
+        x = F.col(f"x{i}")
+        place = F.floor((x / 2 - low / 2) * scale)
+        place = F.when(x <= low, 0).when(x >= high, bins - 1).otherwise(F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)))
+        items.append(F.when((run >= 0) & (x >= low) & (x <= high), F.struct(F.lit(i).alias("c"), run.alias("run"), place.cast("int").alias("bin"), x.alias("x"))))
+    long = cells.select(F.inline(F.array_compact(F.array(*items))))
+    counts = long.groupBy("c", "run", "bin").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+    out: dict[tuple[str, int], list[Run]] = {}
+    for r in sorted(counts.collect(), key=lambda r: (r["c"], r["run"], r["bin"])):
+        runs = out.setdefault((cols[r["c"]], r["run"]), [])
+        before = runs[-1].before + runs[-1].rows if runs else open_[cols[r["c"]]][r["run"]].before
+        runs.append(Run(r["a"], r["b"], before, r["n"]))
+    return out
+
+
 def value_buckets(df: DataFrame, col: str, buckets: int, out: str = "_bucket") -> DataFrame:
-    """Add an order-preserving bucket of a numeric column, cut at its approximate quantiles.
+    """Add an order-preserving bucket of a numeric column, of about equal numbers of rows.
 
-    The edges (at most `buckets` numbers) are the only thing that reaches the driver. They only
-    steer the load: results do not depend on them.
+    A histogram is counted, and its bins with more rows than a bucket should have are split again until they
+    are single values or small enough. The edges (at most `buckets` numbers) only steer the load: results do
+    not depend on them. Missing values share a bucket of their own.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10 * buckets).alias("e")).first()["e"]
-    edges = sorted(set(edges or []))
-    splits = [float("-inf"), *edges, float("inf")]
+    runs = _ends(df, [col])[col]
+    size = runs[0].rows / buckets if runs else 0
+    while True:
+        heavy = [r for r in runs if r.rows > size and r.low < r.high]
+        if not heavy:
+            break
+        parts = _split(df, {col: heavy})
+        runs = sorted([r for r in runs if r not in heavy] + [r for part in parts.values() for r in part], key=lambda r: r.before)
+    edges = {r.low for last, r in zip(runs, runs[1:]) if int(last.before / size) < int(r.before / size)}
+    splits = [-math.inf, *sorted(e for e in edges if math.isfinite(e)), math.inf]
     if len(splits) < 3:
         return df.withColumn(out, F.lit(0))
     tagged = df.withColumn("_bucket_in", F.col(col).cast("double"))
@@ -136,68 +206,31 @@ def block_window(entity: str) -> W:
     return W.partitionBy(entity, "_block").orderBy("_rank")
 
 
-def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], small: int = 200_000, sketch: int = 10_000
-) -> dict[str, list[float | None]]:
-    """Exact quantiles (linear interpolation between order statistics) of numeric columns.
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles (linear interpolation between order statistics) of numeric columns, by histogram selection.
 
-    `percentile` keeps every distinct value of a column in one buffer. Here a bounded sketch puts
-    edges around every wanted rank (one scan for all columns), and the rows at and between the edges
-    are counted. A rank on an edge is settled. A rank strictly between two edges is settled by
-    gathering that gap once it holds at most `small` rows; larger gaps get closer edges first.
+    Every round counts equal-width bins of the runs that still hold a wanted rank, for all columns in one
+    partially aggregated scan, and only bins with a wanted rank are split again, until a bin is a single
+    value. No values are gathered, only HISTOGRAM counts a round. Nulls and NaN do not count; a column
+    without values has null quantiles.
     """
-    step = 2.0 / sketch
-    ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-step, step)]
-    first = df.agg(
-        *[F.count(c).alias(f"n_{c}") for c in cols],
-        *[F.percentile_approx(F.col(c).cast("double"), ends, sketch).alias(f"q_{c}") for c in cols],
-    ).first()
-    n = {c: first[f"n_{c}"] for c in cols}
-    wanted: dict[str, set[int]] = {}
-    edges: dict[str, list[float]] = {}
-    for c in cols:
-        if n[c]:
-            pos = [int(p * (n[c] - 1)) for p in probs]
-            wanted[c] = {r for q in pos for r in (q, min(q + 1, n[c] - 1))}
-            edges[c] = sorted(set(first[f"q_{c}"]))
+    ends = _ends(df, cols)
+    n = {c: runs[0].rows if runs else 0 for c, runs in ends.items()}
+    ranks = {c: sorted({r for p in probs for r in (int(p * (n[c] - 1)), min(int(p * (n[c] - 1)) + 1, n[c] - 1))}) for c in cols if n[c]}
     found: dict[tuple[str, int], float] = {}
-    while wanted:
-        counts = _edge_counts(df, edges)
-        gaps: dict[tuple[str, float | None, float | None], tuple[int, int, list[int]]] = {}
-        for c, ranks in wanted.items():
-            for r in ranks:
-                below = 0
-                for code in range(2 * len(edges[c]) + 1):
-                    here = counts.get((c, code), 0)
-                    if r < below + here:
-                        break
-                    below += here
-                if code % 2:
-                    found[(c, r)] = edges[c][code // 2]
-                else:
-                    k = code // 2
-                    gap = (c, edges[c][k - 1] if k else None, edges[c][k] if k < len(edges[c]) else None)
-                    gaps.setdefault(gap, (below, here, []))[2].append(r)
-        few = {g: v for g, v in gaps.items() if v[1] <= small}
-        for g, values in _gather(df, list(few)).items():
-            for r in few[g][2]:
-                found[(g[0], r)] = values[r - few[g][0]]
-        many = [(g, v) for g, v in gaps.items() if v[1] > small]
-        wanted, edges = {}, {}
-        if many:
-            closer = df.agg(
-                *[
-                    F.percentile_approx(
-                        F.when(_inside(*g), F.col(g[0]).cast("double")),
-                        [min(max((r - below) / here + d, 0.0), 1.0) for r in ranks for d in (-step, step)],
-                        sketch,
-                    ).alias(f"e{i}")
-                    for i, (g, (below, here, ranks)) in enumerate(many)
-                ]
-            ).first()
-            for i, ((c, lo, hi), (_, _, ranks)) in enumerate(many):
-                wanted.setdefault(c, set()).update(ranks)
-                edges[c] = sorted({*edges.get(c, []), *closer[f"e{i}"], *(x for x in (lo, hi) if x is not None)})
+    runs = {c: ends[c] for c in ranks}
+    while runs:
+        open_: dict[str, list[Run]] = {}
+        for c in runs:
+            for run in runs[c]:
+                inside = [r for r in ranks[c] if run.before <= r < run.before + run.rows]
+                if run.low == run.high:
+                    found |= {(c, r): run.low for r in inside}
+                elif inside:
+                    open_.setdefault(c, []).append(run)
+        runs = {}
+        for (c, _), parts in (_split(df, open_) if open_ else {}).items():
+            runs.setdefault(c, []).extend(parts)
     out: dict[str, list[float | None]] = {}
     for c in cols:
         out[c] = []
@@ -211,37 +244,6 @@ def exact_quantiles(
     return out
 
 
-def _edge_counts(df: DataFrame, edges: dict[str, list[float]]) -> dict[tuple[str, int], int]:
-    """Rows per (column, position): position 2k lies between edge k-1 and edge k, position 2k+1 on edge k."""
-    items = []
-    for c, es in edges.items():
-        x = F.col(c).cast("double")
-        code = reduce(lambda a, b: a + b, [(x > e).cast("int") + (x >= e).cast("int") for e in es])
-        items.append(F.struct(F.lit(c).alias("c"), code.alias("code")))
-    long = df.select(F.inline(F.array(*items))).filter("code IS NOT NULL")
-    return {(r["c"], r["code"]): r["n"] for r in long.groupBy("c", "code").agg(F.count("*").alias("n")).collect()}
-
-
-def _gather(df: DataFrame, gaps: list[tuple[str, float | None, float | None]]) -> dict:
-    """Sorted values strictly inside each gap (all gaps are known to be small)."""
-    if not gaps:
-        return {}
-    items = [F.when(_inside(*g), F.struct(F.lit(i).alias("g"), F.col(g[0]).cast("double").alias("x"))) for i, g in enumerate(gaps)]
-    hits = df.select(F.inline(F.array_compact(F.array(*items))))
-    rows = hits.groupBy("g").agg(F.sort_array(F.collect_list("x")).alias("v")).collect()
-    return {gaps[r["g"]]: r["v"] for r in rows}
-
-
-def _inside(c: str, lo: float | None, hi: float | None) -> Column:
-    x = F.col(c).cast("double")
-    cond = x.isNotNull()
-    if lo is not None:
-        cond = cond & (x > F.lit(lo))
-    if hi is not None:
-        cond = cond & (x < F.lit(hi))
-    return cond
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a scan has fewer splits than there are cores (few, small or unsplittable files).
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from breaklens import scale
 from breaklens.operators import metrics, splits, temporal
 from breaklens.scale import block_window, exact_quantiles, global_rank, lookback_blocks, value_buckets
 
@@ -18,8 +19,9 @@ def linear_quantile(values, p):
     return lo + (pos - int(pos)) * (hi - lo)
 
 
-@pytest.mark.parametrize("kind", ["uniform", "one value", "half one value", "two values", "steps"])
-def test_exact_quantiles_with_narrowing(spark, kind):
+@pytest.mark.parametrize("kind", ["uniform", "one value", "half one value", "two values", "steps", "wide", "ends"])
+def test_exact_quantiles_with_narrowing(spark, monkeypatch, kind):
+    monkeypatch.setattr(scale, "HISTOGRAM", 40)
     rnd = random.Random(1)
     values = {
         "uniform": [rnd.random() for _ in range(3000)],
@@ -27,13 +29,23 @@ def test_exact_quantiles_with_narrowing(spark, kind):
         "half one value": [1.0] * 1500 + [rnd.random() * 10 for _ in range(1500)],
         "two values": [0.0] * 999 + [1.0] * 1001,
         "steps": [float(i // 7) for i in range(2500)],
+        "wide": [s * 10.0**e for e in range(-300, 309, 50) for s in (-1.7, -1.0, 1.0)] + [5e-324, 0.0, -0.0],
+        "ends": [math.inf, -math.inf, 1.0, 2.0, math.nan],
     }[kind]
     df = spark.createDataFrame([(v, None) for v in values] + [(None, None)], "x double, empty double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = exact_quantiles(df, ["x", "empty"], probs, small=5, sketch=50)
+    got = exact_quantiles(df, ["x", "empty"], probs)
     assert got["empty"] == [None] * len(probs)
     for p, g in zip(probs, got["x"]):
-        assert math.isclose(g, linear_quantile(values, p), abs_tol=1e-12), (kind, p)
+        want = linear_quantile([v for v in values if v == v], p)
+        assert g == want or math.isclose(g, want, abs_tol=1e-12) or (g != g and want != want), (kind, p)
+
+
+def test_buckets_are_even(spark):
+    df = spark.range(20_000).select((F.col("id") * F.col("id") * F.col("id")).alias("v"))
+    sizes = [r["count"] for r in value_buckets(df, "v", 20).groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 19 and max(sizes) <= 2100
+    assert value_buckets(df.limit(0), "v", 20).count() == 0
 
 
 def test_rank_of_a_hot_group(spark):
