@@ -64,7 +64,10 @@ def fit_minmax(df: DataFrame, cols: list[str]) -> Scaler:
 
 
 def fit_label_encoder(df: DataFrame, cols: list[str], unseen: str = "error") -> StringIndexerModel:
-    """Index of each category in sorted order; unseen values raise, or get the last index with 'keep'."""
+    """Index of each category in sorted order, as a model on the driver; for many categories see operators.dictionary.
+
+    Unseen values raise, or get the last index with 'keep'.
+    """
     return StringIndexer(
         inputCols=cols,
         outputCols=[f"{c}_idx" for c in cols],
@@ -124,20 +127,10 @@ def feature_stats_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return stack_columns(df, aggs, ["mean", "std", "missing_rate"])
 
 
-def feature_stats_categorical(df: DataFrame, cols: list[str], missing: str = "MISSING") -> DataFrame:
-    """Vocabulary size, sorted categories and share of missing values per categorical column.
-
-    Values are counted first (partial aggregation), so only distinct categories are gathered.
-    """
-    long = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in cols]))
-    )
-    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy("column_name").agg(
-        F.count("*").alias("vocab_size"),
-        F.array_join(F.sort_array(F.collect_list(F.coalesce("value", F.lit(missing)))), "|").alias("categories"),
-        (F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n").cast("double")).alias("missing_rate"),
-    )
+def vocabulary_sizes(df: DataFrame, cols: list[str], missing: str = "MISSING") -> DataFrame:
+    """Number of categories per column, missing values being one of them."""
+    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("value")) for c in cols])
+    return df.select(F.inline(items)).distinct().groupBy("column_name").agg(F.count("*").alias("vocab_size"))
 
 
 def embedding_dim(vocab: Column) -> Column:

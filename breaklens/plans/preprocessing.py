@@ -3,7 +3,7 @@
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from breaklens.operators import prep
+from breaklens.operators import dictionary, prep
 from breaklens.plans.parts import rounded
 from breaklens.plans.registry import TXN, register
 from breaklens.sources.tables import TXN_COLUMNS, txn
@@ -53,16 +53,18 @@ def impute_mode(spark, sf):
     return prep.fit_mode(t, ["sector_null"]).transform(t)
 
 
+_CODED = [*CAT, "security_id"]
+
+
 @register(
     "label_encode",
-    f"""WITH {TXN}, f AS (SELECT txn_key, security_type, currency, coalesce(sector_null, 'MISSING') AS sector_null FROM txn)
-        SELECT txn_key, CAST(dense_rank() OVER (ORDER BY security_type) - 1 AS DOUBLE) AS security_type_idx,
-        CAST(dense_rank() OVER (ORDER BY currency) - 1 AS DOUBLE) AS currency_idx,
-        CAST(dense_rank() OVER (ORDER BY sector_null) - 1 AS DOUBLE) AS sector_null_idx FROM f""",
+    f"""WITH {TXN}, f AS (SELECT txn_key, security_type, currency, coalesce(sector_null, 'MISSING') AS sector_null, security_id FROM txn)
+        SELECT txn_key, {', '.join(f'dense_rank() OVER (ORDER BY {c}) - 1 AS {c}_idx' for c in _CODED)} FROM f""",
 )
 def label_encode(spark, sf):
-    t = txn(spark, sf, ["txn_key", *CAT]).withColumn("sector_null", F.coalesce("sector_null", F.lit("MISSING")))
-    return prep.fit_label_encoder(t, CAT).transform(t).drop(*CAT)
+    """Indexes of categories, also of a column with as many values as there are securities."""
+    t = txn(spark, sf, ["txn_key", *_CODED]).withColumn("sector_null", F.coalesce("sector_null", F.lit("MISSING")))
+    return dictionary.encode(t, {c: dictionary.fit_dictionary(t, c) for c in _CODED}).drop(*_CODED)
 
 
 @register(
@@ -118,7 +120,6 @@ def align_columns(spark, sf):
 
 
 _NUM_ROWS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS x FROM txn" for c in NUM)
-_CAT_ROWS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS v FROM txn" for c in CAT)
 
 
 @register(
@@ -130,14 +131,21 @@ def feature_stats_numeric(spark, sf):
     return rounded(prep.feature_stats_numeric(txn(spark, sf, NUM), NUM), 4)
 
 
-_CATSTAT = f"""{TXN}, cs AS (SELECT column_name, count(DISTINCT coalesce(v, 'MISSING')) AS vocab_size,
-    array_to_string(list_sort(list(DISTINCT coalesce(v, 'MISSING'))), '|') AS categories,
-    round(count_if(v IS NULL)/count(*), 6) AS missing_rate FROM ({_CAT_ROWS}) GROUP BY 1)"""
+_CATEGORIES = ["security_type", "currency", "sector_null", "custodian", "portfolio", "security_id"]
+_CATEGORY_ROWS = " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM txn" for c in _CATEGORIES)
+_CATSTAT = f"""{TXN}, cr AS ({_CATEGORY_ROWS}),
+    cs AS (SELECT column_name, count(DISTINCT coalesce(v, 'MISSING')) AS vocab_size, round(count_if(v IS NULL)/count(*), 6) AS missing_rate FROM cr GROUP BY 1),
+    cc AS (SELECT column_name, coalesce(v, 'MISSING') AS category, count(*) AS n FROM cr GROUP BY ALL)"""
 
 
-@register("feature_stats_categorical", f"WITH {_CATSTAT} SELECT * FROM cs")
+@register(
+    "feature_stats_categorical",
+    f"""WITH {_CATSTAT} SELECT column_name, category, row_number() OVER (PARTITION BY column_name ORDER BY category) - 1 AS idx, n, vocab_size, missing_rate
+        FROM cc JOIN cs USING (column_name)""",
+)
 def feature_stats_categorical(spark, sf):
-    return rounded(prep.feature_stats_categorical(txn(spark, sf, CAT), CAT))
+    """Categories as rows, with their index and the column's vocabulary."""
+    return rounded(dictionary.categories(txn(spark, sf, _CATEGORIES), _CATEGORIES))
 
 
 @register(
@@ -145,7 +153,7 @@ def feature_stats_categorical(spark, sf):
     f"WITH {_CATSTAT} SELECT column_name, vocab_size, CAST(least(50, (vocab_size+1)//2) AS INT) AS embedding_dim FROM cs",
 )
 def embedding_dim_rule(spark, sf):
-    s = prep.feature_stats_categorical(txn(spark, sf, CAT), CAT)
+    s = prep.vocabulary_sizes(txn(spark, sf, _CATEGORIES), _CATEGORIES)
     return s.select("column_name", "vocab_size", prep.embedding_dim(F.col("vocab_size")).alias("embedding_dim"))
 
 
