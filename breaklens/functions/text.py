@@ -49,10 +49,6 @@ def condition_text(conditions: Column, digits: int = 3) -> Column:
     )
 
 
-def percent(x: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", x * 100)
-
-
 def format_rule(conditions: Column, prediction: Column, confidence: Column, support: Column) -> Column:
     return F.concat(
         F.lit("IF "),

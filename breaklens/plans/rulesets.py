@@ -4,7 +4,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
 from breaklens.functions.text import composite_rule_text
-from breaklens.operators import explain, extract, models, multitask, rules, stats
+from breaklens.operators import explain, extract, models, multitask, rules, ruleset, stats
 from breaklens.operators.rules import Rule
 from breaklens.plans.association import discretised_rules
 from breaklens.plans.joining import CHAIN, LIST, break_rule_table, chain_rules, change_rule_table
@@ -237,11 +237,31 @@ def extract_comprehensive_rules(spark, sf):
     return shown(all_rules(spark, sf))
 
 
-@register("rule_dedup")
+_CUBE_NAME = " ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN ['{c} = ' || {c}] ELSE [] END" + (" ||" if c != FLAGS[-1] else "") for c in FLAGS
+)
+
+
+@register(
+    "rule_dedup",
+    f"""WITH RECURSIVE {TXN},
+        cu AS (SELECT {', '.join(FLAGS)}, count(*) AS support, sum(was_exception)::DOUBLE / count(*) AS confidence FROM txn GROUP BY CUBE ({', '.join(FLAGS)})),
+        r AS (SELECT {_CUBE_NAME} AS items, support, confidence, confidence / (SELECT avg(was_exception) FROM txn) AS lift FROM cu WHERE support >= 50),
+        s AS (SELECT *, array_to_string(items, ' AND ') AS name,
+                confidence * 0.4::DOUBLE + least(support / 1000.0::DOUBLE, 1) * 0.3::DOUBLE + least(lift / 3.0::DOUBLE, 1) * 0.2::DOUBLE + 0.1::DOUBLE / (1 + len(items)) AS score
+              FROM r WHERE len(items) > 0),
+        p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, name) AS i FROM s),
+        bt AS MATERIALIZED (SELECT y.i, list(x.i) FILTER (len(list_intersect(x.items, y.items)) > 0.8::DOUBLE * len(list_distinct(x.items || y.items))) AS better
+              FROM p y LEFT JOIN p x ON x.i < y.i GROUP BY y.i),
+        g(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+              SELECT bt.i, CASE WHEN list_has_any(kept, coalesce(better, [])) THEN kept ELSE list_append(kept, bt.i) END FROM g JOIN bt ON bt.i = g.i + 1)
+        SELECT name, name AS conditions, 1 AS prediction, round(confidence, 6) AS confidence, support, round(lift, 6) AS lift, 'conjunctions' AS method, round(score, 6) AS score
+        FROM p WHERE i IN (SELECT unnest(kept) FROM g WHERE i = (SELECT count(*) FROM p))""",
+)
 def rule_dedup(spark, sf):
-    """Similar rules below a better one are dropped (the ranked list is a model, held on the driver)."""
-    kept = rules.dedup(rules.to_rules(all_rules(spark, sf)), 0.6)
-    return shown(rules.rules_frame(spark, kept))
+    """Rules of all conjunctions of flags, without those too similar to a better one."""
+    kept = ruleset.deduplicate(ruleset.conjunction_rules(signatures(spark, sf), FLAGS, TARGET))
+    return rounded(kept.withColumn("conditions", F.col("name")))
 
 
 def chained(spark, sf):
