@@ -7,30 +7,26 @@ from breaklens.plans.registry import TXN, register
 from breaklens.sources.tables import txn
 from breaklens.streaming import monitor
 
-# Append mode emits a window once the watermark (latest event minus delay) has passed its end.
-_CLOSED = "date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
-
-
 def _start(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
 @register(
     "stream_break_rate",
-    f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count_if(event_type='error') AS breaks,
-        round(avg(CAST(event_type='error' AS INT)), 6) AS break_rate FROM events WHERE {_CLOSED} GROUP BY 1""",
+    """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, count_if(event_type='error') AS breaks,
+        round(avg(CAST(event_type='error' AS INT)), 6) AS break_rate FROM events GROUP BY 1""",
 )
 def stream_break_rate(spark, sf):
     s = monitor.event_stream(spark, sf).select("ts", (F.col("event_type") == "error").cast("bigint").alias("is_break"))
-    out = monitor.run_available(monitor.break_rate(s, "1 day", "1 day"), "break-rate")
+    out = monitor.break_rate(monitor.latest_windows(monitor.break_counts(s, "1 day", "1 day"), "break-rate"))
     return rounded(out.withColumn("window_start", _start("window_start")))
 
 
 @register(
     "stream_monitor_predictions",
-    f"""WITH e AS (SELECT ts, CAST(value > 50 AS INT) AS predicted, CAST(event_type='error' AS INT) AS outcome FROM events)
+    """WITH e AS (SELECT ts, CAST(value > 50 AS INT) AS predicted, CAST(event_type='error' AS INT) AS outcome FROM events)
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(avg(CAST(predicted=outcome AS INT)), 6) AS accuracy,
-        CAST(sum(predicted) AS BIGINT) AS alarms, CAST(sum(predicted*outcome) AS BIGINT) AS true_alarms FROM e WHERE {_CLOSED} GROUP BY 1""",
+        CAST(sum(predicted) AS BIGINT) AS alarms, CAST(sum(predicted*outcome) AS BIGINT) AS true_alarms FROM e GROUP BY 1""",
 )
 def stream_monitor_predictions(spark, sf):
     p = monitor.event_stream(spark, sf).select(
@@ -41,7 +37,8 @@ def stream_monitor_predictions(spark, sf):
         F.col("ts").alias("outcome_ts"),
         (F.col("event_type") == "error").cast("bigint").alias("outcome"),
     )
-    out = monitor.run_available(monitor.prediction_quality(p, o, "1 day", "1 day"), "prediction-quality")
+    matched = monitor.matched_outcomes(p, o, "1 day")
+    out = monitor.prediction_quality(monitor.summed_windows(matched, "prediction-quality", lambda b: monitor.outcome_sums(b, "1 day")))
     return rounded(out.withColumn("window_start", _start("window_start")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,46 +22,65 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> Data
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def break_rate(stream: DataFrame, width: str, delay: str) -> DataFrame:
-    """Rows, breaks and break rate per tumbling window."""
+def break_counts(stream: DataFrame, width: str, delay: str) -> DataFrame:
+    """Rows and breaks per tumbling window, for update mode: open windows are there as well."""
     w = stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"))
-    return w.agg(F.count("*").alias("n"), F.sum("is_break").alias("breaks")).select(
-        F.col("w.start").alias("window_start"), "n", "breaks", (F.col("breaks") / F.col("n")).alias("break_rate")
-    )
+    return w.agg(F.count("*").alias("n"), F.sum("is_break").alias("breaks")).select(F.col("w.start").alias("window_start"), "n", "breaks")
+
 
+def break_rate(counts: DataFrame) -> DataFrame:
+    return counts.select("window_start", "n", "breaks", (F.col("breaks") / F.col("n")).alias("break_rate"))
 
-def prediction_quality(predictions: DataFrame, outcomes: DataFrame, width: str, delay: str) -> DataFrame:
-    """Join predictions to outcomes of the same key and time, then accuracy and precision per window."""
+
+def matched_outcomes(predictions: DataFrame, outcomes: DataFrame, delay: str) -> DataFrame:
+    """Predictions joined to outcomes of the same key and time, as both have arrived within `delay`."""
     p = predictions.withWatermark("ts", delay)
     o = outcomes.withWatermark("outcome_ts", delay)
-    joined = p.join(o, (F.col("key") == F.col("outcome_key")) & (F.col("ts") == F.col("outcome_ts")))
-    hit = (F.col("predicted") == F.col("outcome")).cast("double")
-    return (
-        joined.groupBy(F.window("ts", width).alias("w"))
-        .agg(
-            F.count("*").alias("n"),
-            F.avg(hit).alias("accuracy"),
-            F.sum("predicted").alias("alarms"),
-            F.sum(F.col("predicted") * F.col("outcome")).alias("true_alarms"),
-        )
-        .select(F.col("w.start").alias("window_start"), "n", "accuracy", "alarms", "true_alarms")
-    )
-
-
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Process what is there in append mode into a Parquet table in the shared folder, and read it."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
+    return p.join(o, (F.col("key") == F.col("outcome_key")) & (F.col("ts") == F.col("outcome_ts")))
+
+
+def outcome_sums(matched: DataFrame, width: str) -> DataFrame:
+    """Additive sums per window of a batch of matched rows."""
+    return matched.groupBy(F.window("ts", width).alias("w")).agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("predicted") == F.col("outcome")).alias("hits"),
+        F.sum("predicted").alias("alarms"),
+        F.sum(F.col("predicted") * F.col("outcome")).alias("true_alarms"),
+    ).select(F.col("w.start").alias("window_start"), "n", "hits", "alarms", "true_alarms")
+
+
+def prediction_quality(sums: DataFrame) -> DataFrame:
+    return sums.select("window_start", "n", (F.col("hits") / F.col("n")).alias("accuracy"), "alarms", "true_alarms")
+
+
+def _run(stream: DataFrame, label: str, mode: str, reduce_batch: Callable[[DataFrame], DataFrame]) -> str:
+    """Process what is there; every batch overwrites its own folder, so a repeated batch changes nothing."""
+    path = scratch_path(stream.sparkSession, label)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        reduce_batch(batch).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep)
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return f"{path}/out"
+
+
+def latest_windows(stream: DataFrame, label: str, key: str = "window_start") -> DataFrame:
+    """Every window's last state from a stream in update mode, also of windows the watermark has not closed."""
+    path = _run(stream, label, "update", lambda batch: batch)
+    schema = stream.schema.add("batch", "long")
+    seen = stream.sparkSession.read.schema(schema).parquet(path)
+    values = F.struct(*[c for c in stream.columns if c != key])
+    return seen.groupBy(key).agg(F.max_by(values, "batch").alias("_v")).select(key, "_v.*")
+
+
+def summed_windows(stream: DataFrame, label: str, sums: Callable[[DataFrame], DataFrame], key: str = "window_start") -> DataFrame:
+    """Additive sums of every batch of an append stream, added up per window: no window waits for the watermark."""
+    path = _run(stream, label, "append", sums)
+    parts = stream.sparkSession.read.parquet(path)
+    names = [c for c in parts.columns if c not in (key, "batch")]
+    return parts.groupBy(key).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def accuracy_by_period(df: DataFrame, period: str, y: str, yhat: str) -> DataFrame:
