@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breaklens.functions.text import rule_label, strip_item_suffix
+from breaklens.session import pin
 
 BREAK, NO_BREAK = "BREAK_OCCURRED", "NO_BREAK"
 
@@ -20,14 +23,32 @@ def transactions(df: DataFrame, flags: list[str], target: str | None) -> DataFra
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.01, items: str = "items") -> DataFrame:
-    """Sorted itemsets with count and support share, of every length."""
-    n = baskets.count()
-    model = FPGrowth(itemsCol=items, minSupport=min_support, minConfidence=1.0).fit(baskets)
-    return model.freqItemsets.select(
-        F.sort_array("items").alias("itemset"),
-        F.col("freq").alias("n"),
-        (F.col("freq") / F.lit(n).cast("double")).alias("support"),
-    )
+    """Sorted itemsets with count and support share, of every length, level by level.
+
+    The baskets are scanned once, into distinct baskets with their counts. Each level extends the frequent
+    itemsets inside every distinct basket by one later frequent item, adds up the counts and keeps those that
+    reach the support, so work follows the distinct baskets and their frequent subsets, not the rows.
+    """
+    distinct = baskets.groupBy(F.sort_array(F.array_distinct(items)).alias("rest")).agg(F.count("*").alias("n"))
+    weighted = pin(distinct.withColumn("basket", F.monotonically_increasing_id()), "baskets")
+    total = weighted.agg(F.sum("n")).first()[0] or 0
+    least = F.lit(math.ceil(min_support * total - 1e-9))
+    single = weighted.select("basket", "n", F.explode("rest").alias("item"))
+    often = single.groupBy("item").agg(F.sum("n").alias("support")).where((F.col("support") >= least) & F.col("item").isNotNull())
+    kept = single.join(often.select("item"), "item").groupBy("basket", "n").agg(F.sort_array(F.collect_list("item")).alias("rest"))
+    state = kept.select("n", F.array().cast("array<string>").alias("itemset"), "rest")
+    levels = [state.select("itemset", "n").limit(0)]
+    while True:
+        step = state.select("n", "itemset", "rest", F.posexplode("rest").alias("at", "item"))
+        grown = pin(step.select("n", F.concat("itemset", F.array("item")).alias("itemset"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest")), "itemset-level")
+        counts = pin(grown.groupBy("itemset").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "itemsets")
+        levels.append(counts)
+        longer = grown.where(F.size("rest") > 0)
+        if counts.isEmpty() or longer.isEmpty():
+            break
+        state = longer.join(counts.select("itemset"), "itemset")
+    found = reduce(DataFrame.union, levels)
+    return found.select("itemset", "n", (F.col("n") / F.lit(float(total))).alias("support"))
 
 
 def _subsets(items: Column) -> Column:
