@@ -1,87 +1,264 @@
-"""Exact k-nearest-neighbour vote without comparing all pairs.
-
-Equal vectors are merged first (a vector keeps at most its k smallest keys: no query can use more),
-so copies never multiply. Points then lie on a grid over the two features with the most values; a
-query looks at its own cell and the eight around it, and is settled once its k-th neighbour is no
-farther than one cell width, since everything that near has been seen. The grid starts so fine that
-no cell is crowded, so dense regions settle among few points; the queries left see a grid twice as
-coarse, and so on until one cell spans everything.
+"""Exact k nearest neighbours over a metric index, without comparing all pairs.
+
+Pivots are chosen by farthest point from a bounded sample. Every training row belongs to its nearest pivot
+and there to a ring of distances, so a cell is (pivot, ring); a ring with more than CELL rows is split by
+hash. A query first looks at the rings around it under its own nearest pivot, which bounds its k-th distance
+by r. By the triangle inequality a row closer than r can then only lie
+
+- under pivots p with d(q, p) - d(q, nearest pivot) <= 2 r (else the row were nearer to the other pivot),
+- and there in the rings that meet [d(q, p) - r, d(q, p) + r].
+
+Only these cells are visited. A cell meets at most about VISITS queries in one group, so neither a crowded
+ring nor a popular cell becomes one task. Copies are cut to their k smallest keys first: no query can use more.
+The number of pivots grows with the square root of the rows, and only pivots reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from breaklens.session import cut_lineage
-
-
-def _distinct_points(train: DataFrame, key: str, cols: list[str], label: str, k: int) -> DataFrame:
-    first = W.partitionBy(*cols).orderBy(key)
-    few = train.select(key, *cols, label).withColumn("_i", F.row_number().over(first)).filter(F.col("_i") <= k)
-    return few.groupBy(*cols).agg(F.sort_array(F.collect_list(F.struct(key, label))).alias("members"))
-
-
-def _cell(c: str, low: float, width: float) -> Column:
-    return F.floor((F.col(c) - F.lit(low)) / F.lit(width))
-
-
-def _grid(points: DataFrame, queries: DataFrame, cols: list[str], k: int) -> tuple[list[str], list[float], float, float]:
-    """Grid columns, their lower ends, the starting cell width and the whole span."""
-    stats = points.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    grid = sorted(cols, key=lambda c: (-stats[c], c))[:2]
-    ends = [
-        df.agg(*[e for c in grid for e in (F.min(c).cast("double"), F.max(c).cast("double"))]).first() for df in (points, queries)
-    ]
-    lows = [min(e[2 * i] for e in ends) for i in range(len(grid))]
-    span = max(max(e[2 * i + 1] for e in ends) - lows[i] for i in range(len(grid))) or 1.0
-    width = span / max((stats["n"] / (2.0 * k)) ** (1 / len(grid)), 1.0)
-    for _ in range(20):
-        cell = [_cell(c, lo, width).alias(f"_c{i}") for i, (c, lo) in enumerate(zip(grid, lows))]
-        fullest = points.select(*cell).groupBy(*[f"_c{i}" for i in range(len(grid))]).count().agg(F.max("count")).first()[0]
-        if fullest <= 10 * k:
-            break
-        width /= 2
-    return grid, lows, width, span
-
-
-def predict(train: DataFrame, test: DataFrame, key: str, cols: list[str], label: str, k: int = 5) -> DataFrame:
-    """Key and share of positive labels among the k nearest (ties by key) for each test row."""
-    points = cut_lineage(_distinct_points(train, key, cols, label, k))
-    pending = cut_lineage(test.select(*cols).distinct())
-    grid, lows, width, span = _grid(points, pending, cols, k)
-    cells = [f"_c{i}" for i in range(len(grid))]
-    by_query = W.partitionBy(*cols)
-    settled = None
-    while True:
-        last = width >= span
-        gridded = points.select(
-            *[F.col(c).alias(f"_p_{c}") for c in cols],
-            "members",
-            *[_cell(c, lo, width).alias(x) for c, lo, x in zip(grid, lows, cells)],
-        )
-        near = pending.select(*cols, *[_cell(c, lo, width).alias(x) for c, lo, x in zip(grid, lows, cells)])
-        for x in cells:
-            near = near.withColumn(x, F.explode(F.sequence(F.col(x) - 1, F.col(x) + 1)))
-        dist = sum(((F.col(c) - F.col(f"_p_{c}")) * (F.col(c) - F.col(f"_p_{c}")) for c in cols), F.lit(0.0))
-        # the nearest k vectors (with ties) hold the nearest k members
-        closest = (
-            near.join(gridded, cells)
-            .select(*cols, "members", dist.alias("_d"))
-            .withColumn("_r", F.rank().over(by_query.orderBy("_d")))
-            .filter(F.col("_r") <= k)
-        )
-        members = closest.select(*cols, "_d", F.inline("members"))
-        members = members.withColumn("_i", F.row_number().over(by_query.orderBy("_d", key))).filter(F.col("_i") <= k)
-        votes = members.groupBy(*cols).agg(
-            F.avg(label).alias("share"), F.count("*").alias("_found"), F.max("_d").alias("_far")
-        )
-        done = votes if last else votes.filter((F.col("_found") == k) & (F.col("_far") <= F.lit(width * width)))
-        done = cut_lineage(done.select(*cols, "share"))
-        settled = done if settled is None else settled.unionByName(done)
-        pending = cut_lineage(pending.join(done, cols, "left_anti"))
-        if last or pending.isEmpty():
-            break
-        width *= 2
-    return test.select(key, *cols).join(settled, cols).select(key, "share", (F.col("share") > 0.5).cast("int").alias("pred"))
+from breaklens.session import pin
+
+CELL = 1024
+VISITS = 4096
+ROWS = 512  # rows compared with all pivots at once
+SAMPLE = 16  # rows of the sample for each pivot
+METRICS = ("euclidean", "manhattan")
+WEIGHTS = ("uniform", "distance")
+
+
+def gaps(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Squared euclidean or manhattan distances of all rows of `a` to all rows of `b`, summed column by column."""
+    out = np.zeros((len(a), len(b)))
+    for d in range(a.shape[1]):
+        step = a[:, d, None] - b[None, :, d]
+        out += step * step if metric == "euclidean" else np.abs(step)
+    return out
+
+
+def lengths(gap: np.ndarray, metric: str) -> np.ndarray:
+    return np.sqrt(gap) if metric == "euclidean" else gap
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(-1, width)
+
+
+@dataclass
+class Index:
+    """Pivots, and for each its least and largest distance, ring width, number of rings and rows."""
+
+    metric: str
+    pivots: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    width: np.ndarray
+    rings: np.ndarray
+    rows: np.ndarray
+
+    def ring(self, pivot: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        at = np.floor((dist - self.low[pivot]) / self.width[pivot])
+        return np.clip(at, 0, self.rings[pivot] - 1).astype(np.int64)
+
+    def visits(self, vec: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, pivot, ring) of every ring that may hold a row within `reach` of a query (inf: not known yet)."""
+        dist = lengths(gaps(vec, self.pivots, self.metric), self.metric)
+        enough = self.rows >= k
+        if enough.any():
+            reach = np.minimum(reach, (dist + self.high)[:, enough].min(axis=1))
+        slack = 1e-9 * (1 + dist.max(axis=1, initial=0.0))  # rounding may only add visits
+        reach = reach + slack
+        nearest = dist.min(axis=1)
+        open_ = (dist - nearest[:, None] <= 2 * reach[:, None]) & (dist - reach[:, None] <= self.high) & (dist + reach[:, None] >= self.low)
+        query, pivot = np.nonzero(open_ & (self.rows > 0))
+        d, r = dist[query, pivot], reach[query]
+        first = self.ring(pivot, d - r)
+        last = self.ring(pivot, d + r)
+        size = last - first + 1
+        ends = np.cumsum(size)
+        step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+        return np.repeat(query, size), np.repeat(pivot, size), np.repeat(first, size) + step
+
+    def home(self, vec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, pivot, ring) of the ring of each query under its nearest pivot, and of the two beside it."""
+        dist = lengths(gaps(vec, self.pivots, self.metric), self.metric)
+        dist[:, self.rows == 0] = np.inf
+        pivot = dist.argmin(axis=1)
+        own = self.ring(pivot, dist[np.arange(len(vec)), pivot])
+        query, ring = np.repeat(np.arange(len(vec)), 3), (own[:, None] + np.array([-1, 0, 1])).reshape(-1)
+        pivot = np.repeat(pivot, 3)
+        inside = (ring >= 0) & (ring < self.rings[pivot])
+        return query[inside], pivot[inside], ring[inside]
+
+
+def farthest(sample: np.ndarray, n: int, metric: str) -> np.ndarray:
+    """At most n rows of the sample, each farthest from those before it."""
+    chosen = [0]
+    near = gaps(sample, sample[:1], metric)[:, 0]
+    while len(chosen) < n and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, gaps(sample, sample[chosen[-1:]], metric)[:, 0])
+    return sample[chosen]
+
+
+def fit_index(points: DataFrame, width: int, metric: str) -> tuple[Index, DataFrame]:
+    """Index of rows (key, label, vec), and the rows with their pivot, ring and part."""
+    n = points.count()
+    wanted = max(1, int(np.ceil(np.sqrt(n) / 4)))
+    sample = points.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE * wanted).collect()
+    pivots = farthest(np.array([r["vec"] for r in sample], float).reshape(-1, width), wanted, metric) if sample else np.zeros((1, width))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                dist = lengths(gaps(_matrix(part.column("vec"), width), pivots, metric), metric)
+                at = dist.argmin(axis=1)
+                extra = [pa.array(at.astype(np.int64)), pa.array(dist[np.arange(len(at)), at])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "pivot", "dist"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items())
+    placed = pin(points.mapInArrow(place, f"{schema}, pivot bigint, dist double"), "knn-points")
+    stats = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("dist").alias("a"), F.max("dist").alias("b")).collect()}
+    rows, low, high = (np.array([float(stats[p][c]) if p in stats else 0.0 for p in range(len(pivots))]) for c in ("n", "a", "b"))
+    rings = np.maximum(1, np.ceil(rows / CELL)).astype(np.int64)
+    step = (high - low) / rings
+    index = Index(metric, pivots, low, high, np.where(step > 0, step, 1.0), rings, rows)
+
+    def ringed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ring = index.ring(batch.column("pivot").to_numpy(), batch.column("dist").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ring)], names=[*batch.schema.names[:-1], "ring"])
+
+    cells = placed.mapInArrow(ringed, f"{schema}, pivot bigint, ring bigint")
+    sizes = cells.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    parted = cells.join(sizes, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("key", "vec"), F.col("parts")))
+    return index, pin(parted, "knn-cells")
+
+
+def _search(index: Index, cells: DataFrame, queries: DataFrame, width: int, k: int, first: bool) -> DataFrame:
+    """(query, key, label, gap): up to k nearest rows of every visited cell for queries (query, vec, reach)."""
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                vec = _matrix(part.column("vec"), width)
+                q, pivot, ring = index.home(vec) if first else index.visits(vec, part.column("reach").to_numpy(), k)
+                taken = part.select(["query", "vec"]).take(pa.array(q))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(pivot.astype(np.int64)), pa.array(ring.astype(np.int64))], names=["query", "vec", "pivot", "ring"])
+
+    visits = queries.select("query", "vec", "reach").mapInArrow(visit, "query bigint, vec array<double>, pivot bigint, ring bigint")
+    visits = pin(visits, "knn-visits")
+    popular = visits.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / VISITS).alias("groups"))
+    parts = cells.groupBy("pivot", "ring").agg(F.max("parts").alias("parts")).join(popular, ["pivot", "ring"])
+    left = visits.join(parts, ["pivot", "ring"]).withColumn("group", F.pmod(F.xxhash64("query"), F.col("groups")))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("pivot", "ring", "part", "group", "query", "vec")
+    right = cells.join(popular, ["pivot", "ring"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
+    metric = index.metric
+
+    def meet(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if asked.num_rows and rows.num_rows:
+            rows = rows.sort_by([("key", "ascending"), ("label", "ascending")])
+            vec, points = _matrix(asked.column("vec"), width), _matrix(rows.column("vec"), width)
+            for at in range(0, len(vec), 256):
+                gap = gaps(vec[at : at + 256], points, metric)
+                kth = np.partition(gap, k - 1, axis=1)[:, k - 1 : k] if gap.shape[1] > k else np.inf
+                q, p = np.nonzero(gap <= kth)
+                order = np.lexsort((p, gap[q, p], q))
+                q, p = q[order], p[order]
+                near = np.arange(len(q)) - np.searchsorted(q, q) < k
+                found.append((q[near] + at, p[near], gap[q[near], p[near]]))
+        q, p, gap = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query": asked.column("query").take(pa.array(q)), "key": rows.column("key").take(pa.array(p)), "label": rows.column("label").take(pa.array(p)), "gap": gap})
+
+    on = ["pivot", "ring", "part", "group"]
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    met = left.groupBy(*on).cogroup(right.select(*on, "key", "label", "vec").groupBy(*on))
+    best = W.partitionBy("query").orderBy("gap", "key", "label")
+    found = met.applyInArrow(meet, f"query bigint, key {kinds['key']}, label {kinds['label']}, gap double")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def _vector(cols: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols]).alias("vec")
+
+
+def _nearest(train: DataFrame, test: DataFrame, key: str, cols: list[str], label: str, k: int, metric: str) -> tuple[DataFrame, DataFrame]:
+    """(query, place, key, label, distance), and the distinct test vectors (query, vec)."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    vec, width = _vector(cols), len(cols)
+    copies = W.partitionBy("vec").orderBy("key", "label")
+    points = train.select(F.col(key).alias("key"), F.col(label).alias("label"), vec)
+    points = pin(points.withColumn("i", F.row_number().over(copies)).where(F.col("i") <= k).drop("i"), "knn-train")
+    index, cells = fit_index(points, width, metric)
+    asked = pin(test.select(vec).distinct().withColumn("query", F.monotonically_increasing_id()), "knn-queries")
+    unknown = F.lit(float("inf"))
+    near = _search(index, cells, asked.withColumn("reach", unknown), width, k, first=True)
+    distance = F.sqrt("gap") if metric == "euclidean" else F.col("gap")
+    kth = near.where(F.col("place") == k).select("query", distance.alias("kth"))
+    bounded = asked.join(kth, "query", "left").select("query", "vec", F.coalesce("kth", unknown).alias("reach"))
+    found = _search(index, cells, bounded, width, k, first=False)
+    return found.select("query", "place", "key", "label", distance.alias("distance")), asked
+
+
+def _vote(found: DataFrame, weights: str) -> DataFrame:
+    """(query, share, pred) of neighbours that weigh 1 or 1 / distance; those at distance 0 outvote all others."""
+    if weights not in WEIGHTS:
+        raise ValueError(f"weights must be one of {WEIGHTS}")
+    plain = F.avg("label")
+    near = F.sum(F.when(F.col("distance") > 0, F.col("label") / F.col("distance"))) / F.sum(F.when(F.col("distance") > 0, 1 / F.col("distance")))
+    same = F.avg(F.when(F.col("distance") == 0, F.col("label")))
+    share = plain if weights == "uniform" else F.coalesce(same, near)
+    return found.groupBy("query").agg(share.alias("share")).withColumn("pred", (F.col("share") > 0.5).cast("int"))
+
+
+def neighbours(train: DataFrame, test: DataFrame, key: str, cols: list[str], label: str, k: int = 5, metric: str = "euclidean") -> DataFrame:
+    """One row per test row and neighbour: `key`, place, near_key, near_label, distance; ties go to the smaller key.
+
+    Columns must be numbers without nulls. Fewer training rows than k give all of them. Test rows that repeat
+    a key have neighbours of their own.
+    """
+    found, asked = _nearest(train, test, key, cols, label, k, metric)
+    rows = test.select(key, _vector(cols)).join(asked, "vec").drop("vec")
+    named = found.select("query", "place", F.col("key").alias("near_key"), F.col("label").alias("near_label"), "distance")
+    return rows.join(named, "query").drop("query")
+
+
+def predict(
+    train: DataFrame, test: DataFrame, key: str, cols: list[str], label: str, k: int = 5, metric: str = "euclidean", weights: str = "uniform"
+) -> DataFrame:
+    """Key, share of positive labels among the k nearest (ties by key) and majority for each test row."""
+    found, asked = _nearest(train, test, key, cols, label, k, metric)
+    rows = test.select(key, _vector(cols)).join(asked, "vec").drop("vec")
+    return rows.join(_vote(found, weights), "query").drop("query")
+
+
+def option_scores(
+    train: DataFrame, test: DataFrame, key: str, cols: list[str], label: str, ks: list[int], metrics: tuple[str, ...] = METRICS, weights: tuple[str, ...] = WEIGHTS
+) -> DataFrame:
+    """metric, weights, k, rows, hits of every combination of options: one search per metric, for the largest k."""
+    out = None
+    for metric in metrics:
+        found, asked = _nearest(train, test, key, cols, label, max(ks), metric)
+        found = pin(found, "knn-found")
+        truth = test.select(F.col(label).alias("y"), _vector(cols)).join(asked, "vec").groupBy("query", "y").agg(F.count("*").alias("n"))
+        truth = pin(truth, "knn-truth")
+        for w in weights:
+            for k in ks:
+                hits = truth.join(_vote(found.where(F.col("place") <= k), w), "query")
+                part = hits.agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).alias("hits"))
+                part = part.select(F.lit(metric).alias("metric"), F.lit(w).alias("weights"), F.lit(k).alias("k"), "rows", "hits")
+                out = part if out is None else out.unionByName(part)
+    return out

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breaklens.operators import metrics
+from breaklens.operators.extratrees import ExtraTrees
 
 SEED = 42
 
@@ -74,14 +75,11 @@ def estimators(n_features: int, features: str = "features", label: str = "label"
         "lightgbm": GBTClassifier(
             maxIter=size, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED, **io
         ),
-        "svm_linear": LinearSVC(maxIter=10, regParam=0.01, **io),
+        "svm_linear": LinearSVC(maxIter=60, regParam=1.0, **io),
         "naive_bayes": NaiveBayes(modelType="gaussian", **io),
         "decision_tree": DecisionTreeClassifier(maxDepth=5, seed=SEED, **io),
-        # no split on random thresholds exists; few bins and no bootstrap come nearest
-        "extra_trees": RandomForestClassifier(
-            numTrees=size, maxDepth=5, maxBins=8, bootstrap=False, featureSubsetStrategy="sqrt", seed=SEED, **io
-        ),
-        "ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0, **io),
+        "extra_trees": ExtraTrees(trees=size, depth=8, seed=SEED, **io),
+        "ridge": LinearRegression(regParam=1.0, elasticNetParam=0.0, standardization=False, **io),
         "neural_small": MultilayerPerceptronClassifier(layers=[n_features, 16, 2], maxIter=40, seed=SEED, **io),
         "neural_large": MultilayerPerceptronClassifier(layers=[n_features, 32, 16, 2], maxIter=40, seed=SEED, **io),
     }
@@ -125,6 +123,9 @@ class Fitted:
 
 
 def fit(name: str, estimator, train: DataFrame, target: str, label: str = "label") -> Fitted:
+    """Fit on 0/1 targets. Ridge and SVM penalties are per data set: Spark's loss is a mean, so they are divided by the rows."""
+    if isinstance(estimator, (LinearRegression, LinearSVC)):
+        estimator = estimator.copy({estimator.regParam: estimator.getRegParam() / max(train.count(), 1)})
     if isinstance(estimator, LinearRegression):
         ready = train.withColumn(label, F.col(target) * 2.0 - 1.0)
     else:

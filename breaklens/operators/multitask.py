@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breaklens.operators import metrics, models
+from breaklens.operators.extratrees import ExtraTrees
 from breaklens.operators.models import Fitted, fit
 from breaklens.operators.rules import Rule, first_match, tree_rules
+from breaklens.session import pin
 
 FEATURES = "features"
 
@@ -144,7 +146,8 @@ def _fit_staged(train, labels, target, est, final_est, folds, fold_col, chained:
         else:
             m = fit(y, e, current, y)
             current = m.score(current, prob, "_h").drop("_h")
-        current = current.drop(col)
+        # a stage's probabilities are written once; later stages read them instead of scoring all earlier ones again
+        current = pin(current.drop(col), "stage")
         stages.append(m)
         inputs.append(extra)
         added.append(prob)
@@ -305,17 +308,16 @@ def architecture_table(test: DataFrame, parts: dict, labels: list[str], target:
 # ---- uncertainty and hybrids --------------------------------------------------------------------
 
 
-def bootstrap_uncertainty(train: DataFrame, test: DataFrame, key: str, target: str, est, rounds: int) -> DataFrame:
-    """Mean and deviation of the probability over bootstrap models, and a confidence per row."""
-    out = test
-    for b in range(rounds):
-        boot = train.sample(withReplacement=True, fraction=1.0, seed=models.SEED + b)
-        out = fit(f"b{b}", est, boot, target).score(out, f"_p{b}", "_h").drop("_h")
-    ps = [F.col(f"_p{b}") for b in range(rounds)]
-    mean = reduce(lambda a, b: a + b, ps) / rounds
-    out = out.withColumn("mean_prob", mean)
-    var = reduce(lambda a, b: a + b, [(p - F.col("mean_prob")) * (p - F.col("mean_prob")) for p in ps]) / rounds
-    return out.select(key, "mean_prob", F.sqrt(var).alias("std_prob"), (1 / (1 + F.sqrt(var))).alias("confidence"))
+def bootstrap_uncertainty(train: DataFrame, test: DataFrame, key: str, target: str, rounds: int = 100, depth: int = 8) -> DataFrame:
+    """Mean and deviation of the probability over bootstrap models, and a confidence per row.
+
+    A round is a randomised tree whose rows count by a Poisson hash of (key, round): the same for any
+    partitioning. All rounds grow in the same scans and score in one pass.
+    """
+    ready = train.withColumn("label", F.col(target).cast("double"))
+    model = ExtraTrees(trees=rounds, depth=depth, seed=models.SEED, bootstrapKey=key).fit(ready)
+    out = model.with_spread(test, "mean_prob", "std_prob")
+    return out.select(key, "mean_prob", "std_prob", (1 / (1 + F.col("std_prob"))).alias("confidence"))
 
 
 def rule_hybrid(scored: DataFrame, known: list[Rule], pred: str = "pred") -> DataFrame:
