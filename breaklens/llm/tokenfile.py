@@ -104,9 +104,10 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
         for first, data, offsets in T.blocks(batch.column(1), bpe.BLOCK):
             ids, at = _pieces(path).encode_block(data, offsets)
             out = []
+            long = max(int(ids.max(initial=0)), end) >> 16 > 0
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                out.append(press.compress(np.append(ids[a:b], np.int32(end)).astype("<u4" if len(ids) and ids.max() >> 16 else "<u2").tobytes()))
-            wide = np.full(len(out), bool(len(ids) and ids.max() >> 16))
+                out.append(press.compress(np.append(ids[a:b], np.int32(end)).astype("<u4" if long else "<u2").tobytes()))
+            wide = np.full(len(out), long)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), pa.array(wide), pa.array(out, pa.binary())], names=["_id", "wide", "ids"])
 
 

@@ -8,6 +8,7 @@ JSON (sorted keys, no spaces, UTF-8).
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,16 +21,44 @@ _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Canonical JSON; lone surrogates, which UTF-8 cannot hold, are escaped."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = "".join(json.dumps(c)[1:-1] if "\ud800" <= c <= "\udfff" else c for c in text)
+    return text
+
+
+def _finite(text: str) -> float:
+    number = float(text)
+    if not math.isfinite(number):
+        raise ValueError(f"{text} is no finite number")
+    return number
+
+
+def parsed(text: str):
+    """The JSON value of a text; numbers beyond a double, NaN, infinities and texts nested too deeply raise ValueError."""
+    try:
+        return json.loads(text, parse_float=_finite, parse_constant=_finite)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+
+
+def _fits(value, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return number and (kind == "number" or value == int(value))
+    return kind in _TYPES and isinstance(value, _TYPES[kind])
 
 
 def schema_errors(value, schema: dict, path: str = "$") -> list[str]:
-    """What is wrong with a JSON value: type, enum, minimum, maximum, minLength, required, properties, items."""
+    """What is wrong with a JSON value: type (one or a list; no value is of an unknown type), enum, minimum, maximum, minLength, required, properties, items."""
     kind, out = schema.get("type"), []
+    kinds = kind if isinstance(kind, list) else [kind] if kind else []
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"integer": number and value == int(value), "number": number}.get(kind)
-    if kind and not (isinstance(value, _TYPES[kind]) if fits is None else fits):
-        return [f"{path} is not {kind}"]
+    if kinds and not any(_fits(value, k) for k in kinds):
+        return [f"{path} is not {' or '.join(map(str, kinds))}"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{path} is not allowed")
     if number and value < schema.get("minimum", value):
@@ -102,7 +131,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             valid, wrong, texts = [], [], []
             for r in rows:
                 try:
-                    given = json.loads(r["arguments"] or "")
+                    given = parsed(r["arguments"] or "")
                     errors = schema_errors(given, fixed[r["name"]]) if r["name"] in fixed else ["unknown tool"]
                 except ValueError:
                     given, errors = r["arguments"], ["not JSON"]

@@ -153,6 +153,16 @@ def test_tool_calls(spark):
     assert toolcalls.link_tool_calls(spark.createDataFrame([], MESSAGES), {}).count() == 0
 
 
+def test_arguments_that_are_hard_to_read(spark):
+    texts = ["1e999", "NaN", '{"question":"\\ud800","words":3}', "[" * 5000 + "]" * 5000, '{"question":"q","words":3.0}', '{"question":"q","words":3.5}']
+    rows = [("c", 0, None, [call(str(i), arguments=t) for i, t in enumerate(texts)], None)]
+    got = {r["id"]: r for r in toolcalls.link_tool_calls(spark.createDataFrame(rows, MESSAGES), queries.ANSWER).collect()}
+    assert [got[str(i)]["valid"] for i in range(len(texts))] == [False, False, True, False, True, False]
+    assert got["0"]["errors"] == got["1"]["errors"] == got["3"]["errors"] == "not JSON"
+    assert json.loads(got["2"]["json"])["arguments"]["question"] == "\ud800"
+    assert toolcalls.schema_errors("x", {"type": ["integer", "string"]}) == [] != toolcalls.schema_errors(1, {"type": "colour"})
+
+
 def test_op3(spark, sf):
     got = queries.op3_tool_calls(spark, sf)
     asked = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").select("conv_id", "turn").distinct()
