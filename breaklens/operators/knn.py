@@ -145,6 +145,27 @@ def fit_index(points: DataFrame, width: int, metric: str) -> tuple[Index, DataFr
     return index, pin(parted, "knn-cells")
 
 
+def _within(a: np.ndarray, b: np.ndarray, reach: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, gap) of pairs that hold the k nearest within `reach`.
+
+    With a known reach one matrix product finds the pairs whose euclidean distance may be within it (no distance
+    is below that), and only these get their exact gap. Rounding of the product is allowed for.
+    """
+    if np.isinf(reach).any():
+        gap = gaps(a, b, metric)
+        kth = np.partition(gap, k - 1, axis=1)[:, k - 1 : k] if gap.shape[1] > k else np.inf
+        q, p = np.nonzero(gap <= kth)
+        return q, p, gap[q, p]
+    size_a, size_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    limit = reach * reach + 1e-9 * (1 + reach * reach + size_a.max() + size_b.max())
+    q, p = np.nonzero(size_a[:, None] + size_b[None, :] - 2 * (a @ b.T) <= limit[:, None])
+    gap = np.zeros(len(q))
+    for d in range(a.shape[1]):
+        step = a[q, d] - b[p, d]
+        gap += step * step if metric == "euclidean" else np.abs(step)
+    return q, p, gap
+
+
 def _search(index: Index, cells: DataFrame, queries: DataFrame, width: int, k: int, first: bool) -> DataFrame:
     """(query, key, label, gap): up to k nearest rows of every visited cell for queries (query, vec, reach)."""
 
@@ -154,15 +175,15 @@ def _search(index: Index, cells: DataFrame, queries: DataFrame, width: int, k: i
                 part = batch.slice(at, ROWS)
                 vec = _matrix(part.column("vec"), width)
                 q, pivot, ring = index.home(vec) if first else index.visits(vec, part.column("reach").to_numpy(), k)
-                taken = part.select(["query", "vec"]).take(pa.array(q))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(pivot.astype(np.int64)), pa.array(ring.astype(np.int64))], names=["query", "vec", "pivot", "ring"])
+                taken = part.take(pa.array(q))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(pivot.astype(np.int64)), pa.array(ring.astype(np.int64))], names=[*taken.schema.names, "pivot", "ring"])
 
-    visits = queries.select("query", "vec", "reach").mapInArrow(visit, "query bigint, vec array<double>, pivot bigint, ring bigint")
+    visits = queries.select("query", "vec", "reach").mapInArrow(visit, "query bigint, vec array<double>, reach double, pivot bigint, ring bigint")
     visits = pin(visits, "knn-visits")
     popular = visits.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / VISITS).alias("groups"))
     parts = cells.groupBy("pivot", "ring").agg(F.max("parts").alias("parts")).join(popular, ["pivot", "ring"])
     left = visits.join(parts, ["pivot", "ring"]).withColumn("group", F.pmod(F.xxhash64("query"), F.col("groups")))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("pivot", "ring", "part", "group", "query", "vec")
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("pivot", "ring", "part", "group", "query", "vec", "reach")
     right = cells.join(popular, ["pivot", "ring"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
     metric = index.metric
 
@@ -171,14 +192,13 @@ def _search(index: Index, cells: DataFrame, queries: DataFrame, width: int, k: i
         if asked.num_rows and rows.num_rows:
             rows = rows.sort_by([("key", "ascending"), ("label", "ascending")])
             vec, points = _matrix(asked.column("vec"), width), _matrix(rows.column("vec"), width)
+            reach = asked.column("reach").to_numpy()
             for at in range(0, len(vec), 256):
-                gap = gaps(vec[at : at + 256], points, metric)
-                kth = np.partition(gap, k - 1, axis=1)[:, k - 1 : k] if gap.shape[1] > k else np.inf
-                q, p = np.nonzero(gap <= kth)
-                order = np.lexsort((p, gap[q, p], q))
-                q, p = q[order], p[order]
+                q, p, gap = _within(vec[at : at + 256], points, reach[at : at + 256], k, metric)
+                order = np.lexsort((p, gap, q))
+                q, p, gap = q[order], p[order], gap[order]
                 near = np.arange(len(q)) - np.searchsorted(q, q) < k
-                found.append((q[near] + at, p[near], gap[q[near], p[near]]))
+                found.append((q[near] + at, p[near], gap[near]))
         q, p, gap = (np.concatenate(x) for x in zip(*found))
         return pa.table({"query": asked.column("query").take(pa.array(q)), "key": rows.column("key").take(pa.array(p)), "label": rows.column("label").take(pa.array(p)), "gap": gap})
 
