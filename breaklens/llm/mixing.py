@@ -12,10 +12,11 @@ mixture has combinations of sources, never documents.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breaklens.llm import text as T
@@ -132,11 +133,10 @@ def select_mix(sized: DataFrame, flows: dict[tuple, dict]) -> DataFrame:
 
     The uses of a pattern's documents lie on a line: all first uses in seeded order, then all second ones, and
     so on. Every source gets an interval as long as its flow, and takes the uses that lie inside. What is then
-    missing is offered, in seeded order, to the documents of the source's largest pattern that fit and have
-    uses left, until none fits (of the sources that share a pattern, the one that misses most comes first); at
-    last one more use of the smallest document is taken where that brings the sum nearer. Documents without
-    words are not taken; rows that repeat an id are rows of their own. Rows that no source takes have a null
-    source and no uses.
+    missing, less than two documents, is filled from the source's largest pattern with the largest use that
+    fits, until none fits, and at last with the smallest one where that brings the sum nearer; one row per source
+    and round reaches the driver. Documents without words are not taken; rows that repeat an id are rows of
+    their own. Rows that no source takes have a null source and no uses.
     """
     spark = sized.sparkSession
     plan = _plan(spark, flows)
@@ -151,29 +151,46 @@ def select_mix(sized: DataFrame, flows: dict[tuple, dict]) -> DataFrame:
     inside = uses.withColumn("_stop", end).join(plan, "_pattern").where("_stop - _size >= _from AND _stop <= _to")
     taken = pin(inside.groupBy("_row", "_source").agg(F.count("*").alias("uses")), "mix-uses")
 
-    # the source that has most of a pattern's flow may fill up from it
-    wanted = plan.groupBy("_source").agg(F.sum(F.col("_to") - F.col("_from")).alias("_wanted"), F.max_by("_pattern", F.struct(F.col("_to") - F.col("_from"), "_pattern")).alias("_pattern"))
-    sizes = marked.select("_row", "_pattern", "_part", *[c for c in ("_draw", "_id", "_size")]).where("_size > 0")
-    while True:
-        used = taken.groupBy("_row").agg(F.sum("uses").alias("_used"))
-        got = taken.join(sizes, "_row").groupBy("_source").agg(F.sum(F.col("uses") * F.col("_size")).alias("_got"))
-        gaps = wanted.join(got, "_source", "left").select("_source", "_pattern", (F.col("_wanted") - F.coalesce("_got", F.lit(0))).alias("_gap")).where("_gap > 0")
-        gaps = gaps.groupBy("_pattern").agg(F.max(F.struct("_gap", "_source")).alias("g")).select("_pattern", "g._gap", "g._source")
-        open_ = sizes.join(gaps, "_pattern").join(used, "_row", "left").where(F.coalesce("_used", F.lit(0)) < REPEATS)
-        open_ = pin(open_.select(*sizes.columns, "_source", "_gap"), "mix-open")
-        fits = open_.where("_size <= _gap")
-        more = prefix_aggregate(fits, ["_source"], order, "_part", {"_upto": ("sum", F.col("_size"))}).where("_upto <= _gap")
-        more = pin(more.select("_row", "_source", F.lit(1).cast("bigint").alias("uses")), "mix-more")
-        if more.isEmpty():
-            break
-        taken = pin(taken.union(more).groupBy("_row", "_source").agg(F.sum("uses").alias("uses")), "mix-uses")
-    least = open_.groupBy("_source").agg(F.min(F.struct("_size", "_draw", "_row")).alias("b"), F.min("_gap").alias("_gap"))
-    last = least.where("b._size < 2 * _gap").select(F.col("b._row").alias("_row"), "_source", F.lit(1).cast("bigint").alias("uses"))
-    taken = taken.union(last).groupBy("_row", "_source").agg(F.sum("uses").alias("uses"))
+    sizes = marked.where("_size > 0").select("_row", "_pattern", "_size", "_draw")
+    used = taken.groupBy("_row").agg(F.sum("uses").alias("_used"))
+    spare = sizes.join(used, "_row", "left").select("*", (REPEATS - F.coalesce("_used", F.lit(0))).alias("_left")).where("_left > 0")
+    spare = pin(spare.drop("_used"), "mix-spare")
+    got = taken.join(sizes, "_row").groupBy("_source").agg(F.sum(F.col("uses") * F.col("_size")).alias("_got"))
+    # one row per source; the source fills up from the pattern it has most of
+    most = F.max_by("_pattern", F.struct(F.col("_to") - F.col("_from"), "_pattern")).alias("_pattern")
+    wanted = plan.groupBy("_source").agg(F.sum(F.col("_to") - F.col("_from")).alias("_wanted"), most).join(got, "_source", "left")
+    missing = {r["_source"]: [r["_wanted"] - (r["_got"] or 0), r["_pattern"]] for r in wanted.collect()}
+    picks: dict[tuple[int, str], int] = {}
+    while chosen := _offers(spare, missing, picks, F.col("_size") <= F.col("_gap"), F.max):
+        for source, row, size in chosen:
+            missing[source][0] -= size
+            picks[row, source] = picks.get((row, source), 0) + 1
+    for source, row, _ in _offers(spare, missing, picks, F.col("_size") < 2 * F.col("_gap"), F.min):
+        picks[row, source] = picks.get((row, source), 0) + 1
+    extra = spark.createDataFrame([(r, s, n) for (r, s), n in picks.items()], "_row bigint, _source string, uses bigint")
+    taken = taken.union(extra).groupBy("_row", "_source").agg(F.sum("uses").alias("uses"))
     out = marked.join(taken, "_row", "left")
     return out.select("_row", "_id", "_members", "_size", F.when(F.col("_source") != "n", F.substr("_source", F.lit(2))).alias("source"), F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
+def _offers(spare: DataFrame, missing: dict, picks: dict, fits: Column, best: Callable) -> list[tuple[str, int, int]]:
+    """(source, row, size): for every source that misses words the largest or smallest use that fits, no use twice."""
+    spark = spare.sparkSession
+    gaps = spark.createDataFrame([(s, p, int(g)) for s, (g, p) in missing.items() if g > 0], "_source string, _pattern string, _gap bigint")
+    count: dict[int, int] = {}
+    for (row, _), n in picks.items():
+        count[row] = count.get(row, 0) + n
+    gone = spark.createDataFrame(list(count.items()), "_row bigint, _picked bigint")
+    left = spare.join(gone, "_row", "left").where("_left > coalesce(_picked, 0)").join(gaps, "_pattern").where(fits)
+    found = left.groupBy("_source").agg(best(F.struct("_size", "_draw", "_row")).alias("b"), F.first("_gap").alias("gap"))
+    out, seen = [], set()
+    for r in sorted(found.collect(), key=lambda r: (-r["gap"], r["_source"])):  # one row per source
+        if r["b"]["_row"] not in seen:
+            seen.add(r["b"]["_row"])
+            out.append((r["_source"], r["b"]["_row"], r["b"]["_size"]))
+    return out
+
+
 def _spelled(x):
     """A null member must differ from every string."""
     return F.when(x.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), x))
