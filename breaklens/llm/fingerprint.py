@@ -169,7 +169,8 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ranges = W.orderBy("part")  # one row per range
     around = F.coalesce(F.lag("part").over(ranges), F.max("part").over(ranges.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     heads = heads.select("part", "head", around.alias("before"))
-    firsts = placed.join(heads, "part").where(F.col("place").eqNullSafe(F.col("head")))
+    # at most 2 * n + 1 rows: the ranges
+    firsts = placed.join(F.broadcast(heads), "part").where(F.col("place").eqNullSafe(F.col("head")))
     dealt = placed.withColumn("copy", F.lit(False)).select("part", "copy", "place", "_id", "_text")
     dealt = dealt.union(firsts.select(F.col("before"), F.lit(True), "place", "_id", "_text"))
     dealt = dealt.repartition(2 * n + 1, "part").sortWithinPartitions("part", "copy", "place", "_text")
