@@ -44,7 +44,11 @@ def encode(df: DataFrame, dictionaries: dict[str, DataFrame], unseen: str = "nul
 
 
 def categories(df: DataFrame, columns: list[str], missing: str = "MISSING") -> DataFrame:
-    """One row per column and category: column_name, category, idx, n, vocab_size and the column's missing_rate."""
+    """One row per column and category: column_name, category, idx, n, vocab_size and the column's missing_rate.
+
+    The columns are written once, since each is counted on its own.
+    """
+    df = pin(df.select(*columns), "categories")
     parts = []
     for c in columns:
         text = df.select(F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("v"), F.col(c).isNull().alias("none"))
