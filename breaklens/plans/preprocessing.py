@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from breaklens.operators import dictionary, prep
 from breaklens.plans.parts import rounded
 from breaklens.plans.registry import TXN, register
+from breaklens.session import pin
 from breaklens.sources.tables import TXN_COLUMNS, txn
 
 NUM = ["l_quantity", "price_null", "l_discount", "o_totalprice"]
@@ -185,7 +186,8 @@ _LAB = ["was_exception", "fld_factor", "fld_coupon", "fld_date"]
 )
 def prepare_inputs(spark, sf):
     """Model input per row: scaled numerics, missing indicators, category indexes; labels beside it."""
-    t = txn(spark, sf, ["txn_key", *NUM, *CAT, *_LAB])
+    # joined once: fitting takes many passes
+    t = pin(txn(spark, sf, ["txn_key", *NUM, *CAT, *_LAB]), "inputs")
     fitted = prep.fit_inputs(t, NUM, CAT)
     return spread(fitted.transform(t).select("txn_key", "features", *_LAB), fitted.names())
 
@@ -197,7 +199,7 @@ def prepare_inputs(spark, sf):
 )
 def preprocess_stages(spark, sf):
     """Fitted on the training rows, applied to the test rows."""
-    t = txn(spark, sf, ["txn_key", "bucket", *NUM, *CAT])
+    t = pin(txn(spark, sf, ["txn_key", "bucket", *NUM, *CAT]), "inputs")
     fitted = prep.fit_inputs(t.filter("bucket < 80"), NUM, CAT, indicators=False)
     return spread(fitted.transform(t.filter("bucket >= 80")).select("txn_key", "features"), fitted.names())
 
