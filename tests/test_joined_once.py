@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from breaklens.operators import extratrees, models
@@ -53,6 +54,15 @@ def test_joined_rows_are_given_up_for_the_features(spark, small):
         assert s.count() == 800
 
 
+def test_rows_that_cannot_be_assembled_are_reported(spark, small, tmp_path):
+    for name in ("nation", "supplier", "part", "orders"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    lines.withColumn("l_tax", F.when(F.col("l_linenumber") < 3, F.col("l_tax"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = entry.queries()["clf_svm_linear"](spark, str(tmp_path)).first()
+    assert row["error"] and row["accuracy"] is None
+
+
 def test_searches_answer_from_few_tasks(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(LinearSVC, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()))
