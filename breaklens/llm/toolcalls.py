@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from breaklens.session import pin
 
+DEPTH = 900  # levels of lists and objects
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[][{}]', re.S)
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -38,7 +41,16 @@ def _finite(text: str) -> float:
 
 
 def parsed(text: str):
-    """The JSON value of a text; numbers beyond a double, NaN, infinities and texts nested too deeply raise ValueError."""
+    """The JSON value of a text; numbers beyond a double, NaN, infinities and texts nested too deeply raise ValueError.
+
+    The depth is bounded here, since what the parser itself bears depends on the Python version.
+    """
+    if text.count("[") + text.count("{") > DEPTH:
+        depth = 0
+        for mark in _MARKS.findall(text):
+            depth += {"[": 1, "{": 1, "]": -1, "}": -1}.get(mark, 0)
+            if depth > DEPTH:
+                raise ValueError("nested too deeply")
     try:
         return json.loads(text, parse_float=_finite, parse_constant=_finite)
     except RecursionError:
