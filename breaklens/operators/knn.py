@@ -1,35 +1,36 @@
-"""Exact k nearest neighbours over a metric index, without comparing all pairs.
+"""Exact k nearest neighbours over boxes split by coordinates, without comparing all pairs.
 
-Pivots are chosen by farthest point from a bounded sample. Every training row belongs to its nearest pivot
-and there to a ring of distances, so a cell is (pivot, ring); a ring with more than CELL rows is split by
-hash. A query first looks at the rings around it under its own nearest pivot, which bounds its k-th distance
-by r. By the triangle inequality a row closer than r can then only lie
+Copies are cut to their k smallest keys first: no query can use more. A bounded sample splits the space at
+medians into boxes of CELL to 2 * CELL rows. A query is first answered in its own box, which bounds its k-th
+distance; then it visits only the other boxes that the bound reaches. A box meets at most about VISITS queries
+in one group, so no popular box becomes one task. In a task the rows of a box are split again into leaves with tight bounds, and
+only leaves within the bound are compared. Boxes are large, so a query has few visits, and vectors travel as
+whole bytes where that is exact. Only the sample and the rows and queries of each box reach the driver.
 
-- under pivots p with d(q, p) - d(q, nearest pivot) <= 2 r (else the row were nearer to the other pivot),
-- and there in the rings that meet [d(q, p) - r, d(q, p) + r].
-
-Only these cells are visited. A cell meets at most about VISITS queries in one group, so neither a crowded
-ring nor a popular cell becomes one task. Copies are cut to their k smallest keys first: no query can use more.
-The number of pivots grows with the square root of the rows, and only pivots reach the driver.
+`Index` is an index by pivots and rings of distances, for metrics that know no coordinates; the search here has coordinates.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from breaklens.session import pin
 
-CELL = 1024
-VISITS = 4096
-ROWS = 512  # rows compared with all pivots at once
-SAMPLE = 16  # rows of the sample for each pivot
+CELL = 1 << 14
+VISITS = 1 << 15
+LEAF = 128  # rows of a leaf, up to twice as many
+ROWS = 1024  # queries compared with a box at once
+CLOSE = 8  # leaves that bound a query's k-th distance
+SAMPLE = 16  # rows of the sample for each box
 METRICS = ("euclidean", "manhattan")
 WEIGHTS = ("uniform", "distance")
 
@@ -47,9 +48,92 @@ def lengths(gap: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(gap) if metric == "euclidean" else gap
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: str) -> np.ndarray:
+    """The vectors of a column of packed rows, as doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy().reshape(-1, width)
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.zeros((0, width))
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return data.view(kind).reshape(-1, width).astype(float)
+
+
+def _packed(vec: np.ndarray, kind: str) -> pa.Array:
+    rows = np.ascontiguousarray(vec.astype(kind))
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+class Boxes:
+    """A binary tree of boxes: rows below `cut` in `dim` are left, the others right; leaves (dim -1) are numbered."""
+
+    def __init__(self, rows: np.ndarray, least: int):
+        """Split at medians while both sides keep `least` rows."""
+        width = rows.shape[1]
+        self.dim, self.cut, self.left, self.number = [], [], [], []
+        low, high = [np.full(width, -np.inf)], [np.full(width, np.inf)]
+        todo, self.count = [np.arange(len(rows))], 0
+        for node, own in enumerate(todo):  # grows while it is read
+            dim, cut = self._split(rows[own], least)
+            self.dim.append(dim)
+            self.cut.append(cut)
+            self.left.append(len(todo) if dim >= 0 else -1)
+            self.number.append(self.count if dim < 0 else -1)
+            if dim < 0:
+                self.count += 1
+                continue
+            below = rows[own, dim] < cut
+            todo += [own[below], own[~below]]
+            for side, edge in ((high, 0), (low, 1)):
+                for child in (0, 1):
+                    bound = side[node].copy()
+                    if child == edge:
+                        bound[dim] = cut
+                    side.append(bound)
+        self.dim, self.cut, self.left, self.number = (np.array(x) for x in (self.dim, self.cut, self.left, self.number))
+        self.low, self.high = np.array(low), np.array(high)
+
+    @staticmethod
+    def _split(rows: np.ndarray, least: int) -> tuple[int, float]:
+        n = len(rows)
+        if n >= 2 * least:
+            for dim in np.argsort(-rows.std(axis=0), kind="stable"):
+                values = np.sort(rows[:, dim])
+                middle = values[n // 2]
+                above = values[min(n - 1, np.searchsorted(values, middle, "right"))]
+                cut = min((middle, above), key=lambda c: abs(2 * np.searchsorted(values, c) - n))
+                if least <= np.searchsorted(values, cut) <= n - least:
+                    return int(dim), float(cut)
+        return -1, 0.0
+
+    def home(self, vec: np.ndarray) -> np.ndarray:
+        """The number of the leaf of every row."""
+        node = np.zeros(len(vec), np.int64)
+        while (inner := np.flatnonzero(self.dim[node] >= 0)).size:
+            at = node[inner]
+            node[inner] = self.left[at] + (vec[inner, self.dim[at]] >= self.cut[at])
+        return self.number[node]
+
+    def reached(self, vec: np.ndarray, reach: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf number) of all leaves with a point that is no farther than `reach`, a gap as of `gaps`."""
+        row, node = np.arange(len(vec)), np.zeros(len(vec), np.int64)
+        found = []
+        while len(row):
+            leaf = self.dim[node] < 0
+            found.append((row[leaf], self.number[node[leaf]]))
+            row, node = np.repeat(row[~leaf], 2), (self.left[node[~leaf]][:, None] + np.array([0, 1])).reshape(-1)
+            gap = np.zeros(len(row))
+            for d in range(vec.shape[1]):
+                gap += _outside(vec[row, d], self.low[node, d], self.high[node, d], metric)
+            row, node = row[gap <= reach[row]], node[gap <= reach[row]]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (row, node)
+
+
+def _outside(x: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
+    """One column's part of the gap between rows and boxes: never above that of a row in the box, rounding included."""
+    step = np.maximum(np.maximum(low - x, x - high), 0.0)
+    return step * step if metric == "euclidean" else step
 
 
 @dataclass
@@ -109,128 +193,198 @@ def farthest(sample: np.ndarray, n: int, metric: str) -> np.ndarray:
     return sample[chosen]
 
 
-def fit_index(points: DataFrame, width: int, metric: str) -> tuple[Index, DataFrame]:
-    """Index of rows (key, label, vec), and the rows with their pivot, ring and part."""
-    n = points.count()
-    wanted = max(1, int(np.ceil(np.sqrt(n) / 4)))
-    sample = points.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE * wanted).collect()
-    pivots = farthest(np.array([r["vec"] for r in sample], float).reshape(-1, width), wanted, metric) if sample else np.zeros((1, width))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, ROWS):
-                part = batch.slice(first, ROWS)
-                dist = lengths(gaps(_matrix(part.column("vec"), width), pivots, metric), metric)
-                at = dist.argmin(axis=1)
-                extra = [pa.array(at.astype(np.int64)), pa.array(dist[np.arange(len(at)), at])]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "pivot", "dist"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    schema = ", ".join(f"{c} {t}" for c, t in kinds.items())
-    placed = pin(points.mapInArrow(place, f"{schema}, pivot bigint, dist double"), "knn-points")
-    stats = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("dist").alias("a"), F.max("dist").alias("b")).collect()}
-    rows, low, high = (np.array([float(stats[p][c]) if p in stats else 0.0 for p in range(len(pivots))]) for c in ("n", "a", "b"))
-    rings = np.maximum(1, np.ceil(rows / CELL)).astype(np.int64)
-    step = (high - low) / rings
-    index = Index(metric, pivots, low, high, np.where(step > 0, step, 1.0), rings, rows)
-
-    def ringed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ring = index.ring(batch.column("pivot").to_numpy(), batch.column("dist").to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ring)], names=[*batch.schema.names[:-1], "ring"])
-
-    cells = placed.mapInArrow(ringed, f"{schema}, pivot bigint, ring bigint")
-    sizes = cells.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / CELL).alias("parts"))
-    parted = cells.join(sizes, ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("key", "vec"), F.col("parts")))
-    return index, pin(parted, "knn-cells")
+class Leaves:
+    """Rows of a box by leaf, with tight bounds."""
+
+    def __init__(self, rows: np.ndarray, metric: str):
+        tree = Boxes(rows, LEAF)
+        own = tree.home(rows)
+        self.metric, self.order = metric, np.argsort(own, kind="stable")
+        self.rows = rows[self.order]
+        self.starts = np.searchsorted(own[self.order], np.arange(tree.count + 1))
+        self.low = np.minimum.reduceat(self.rows, self.starts[:-1], axis=0)
+        self.high = np.maximum.reduceat(self.rows, self.starts[:-1], axis=0)
+
+    def _met(self, query: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(positions of the pairs, first row, last row) of every leaf among pairs of a query and a leaf."""
+        by = np.argsort(leaf, kind="stable")
+        own, first = np.unique(leaf[by], return_index=True)
+        for at, some in zip(own, np.split(by, first[1:])):
+            yield some, self.starts[at], self.starts[at + 1]
+
+    def nearest(self, vec: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, gap) of up to k nearest rows within `reach` (a gap; inf: not known), ties to the first row."""
+        apart = np.zeros((len(vec), len(self.low)))
+        for d in range(vec.shape[1]):
+            apart += _outside(vec[:, d, None], self.low[None, :, d], self.high[None, :, d], self.metric)
+        open_ = np.flatnonzero(np.isinf(reach))
+        if len(open_):
+            near = min(CLOSE, apart.shape[1])
+            close = np.argpartition(apart[open_], near - 1, axis=1)[:, :near].reshape(-1)
+            query, kth = np.repeat(open_, near), np.full((len(open_) * near, k), np.inf)
+            for some, first, last in self._met(query, close):
+                gap = gaps(vec[query[some]], self.rows[first:last], self.metric)
+                width = min(k, gap.shape[1])
+                kth[some, :width] = np.partition(gap, width - 1, axis=1)[:, :width]
+            reach = reach.copy()
+            reach[open_] = np.partition(kth.reshape(len(open_), -1), k - 1, axis=1)[:, k - 1]
+        query, leaf = np.nonzero(apart <= reach[:, None])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for some, first, last in self._met(query, leaf):
+            own = query[some]
+            q, p, gap = _within(vec[own], self.rows[first:last], reach[own], self.metric)
+            found.append((own[q], self.order[p + first], gap))
+        q, p, gap = (np.concatenate(x) for x in zip(*found))
+        by = np.lexsort((p, gap, q))
+        q, p, gap = q[by], p[by], gap[by]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[first], p[first], gap[first]
 
 
-def _within(a: np.ndarray, b: np.ndarray, reach: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, gap) of pairs that hold the k nearest within `reach`.
+def _within(a: np.ndarray, b: np.ndarray, reach: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, gap) of the pairs whose gap is at most `reach`.
 
-    With a known reach one matrix product finds the pairs whose euclidean distance may be within it (no distance
-    is below that), and only these get their exact gap. Rounding of the product is allowed for.
+    One matrix product finds the pairs whose euclidean distance may be within it (no distance is below that),
+    and only these get their exact gap. Rounding of the product is allowed for.
     """
-    if np.isinf(reach).any():
-        gap = gaps(a, b, metric)
-        kth = np.partition(gap, k - 1, axis=1)[:, k - 1 : k] if gap.shape[1] > k else np.inf
-        q, p = np.nonzero(gap <= kth)
-        return q, p, gap[q, p]
     size_a, size_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    limit = reach * reach + 1e-9 * (1 + reach * reach + size_a.max() + size_b.max())
+    square = reach if metric == "euclidean" else reach * reach
+    limit = square + 1e-9 * (1 + square + size_a.max() + size_b.max())
     q, p = np.nonzero(size_a[:, None] + size_b[None, :] - 2 * (a @ b.T) <= limit[:, None])
     gap = np.zeros(len(q))
     for d in range(a.shape[1]):
         step = a[q, d] - b[p, d]
         gap += step * step if metric == "euclidean" else np.abs(step)
-    return q, p, gap
+    near = gap <= reach[q]
+    return q[near], p[near], gap[near]
 
 
-def _search(index: Index, cells: DataFrame, queries: DataFrame, width: int, k: int, first: bool) -> DataFrame:
-    """(query, key, label, gap): up to k nearest rows of every visited cell for queries (query, vec, reach)."""
+def fit_boxes(points: DataFrame, width: int, kind: str, k: int) -> Boxes:
+    """Boxes of rows (key, vec) from a sample of about SAMPLE rows for each CELL rows, drawn by hash."""
+    n = points.count()
+    share = min(1.0, SAMPLE * max(1, np.ceil(n / CELL)) / max(n, 1))
+    draw = F.pmod(F.xxhash64("vec", "key"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
+    sample = points.where(draw).select("vec").collect()
+    rows = np.array([np.frombuffer(r["vec"], kind) for r in sample], float).reshape(-1, width)
+    return Boxes(rows[np.lexsort(rows.T)], max(SAMPLE, k))
+
+
+def _search(boxes: Boxes, points: DataFrame, queries: DataFrame, width: int, kind: str, k: int, metric: str, first: bool) -> DataFrame:
+    """(query, near) of queries (query, reach): up to k nearest rows (gap, key, label) of a visited box.
+
+    The first search visits each query's own box, the second all other boxes within `reach`.
+    """
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                vec = _matrix(part.column("vec"), width)
-                q, pivot, ring = index.home(vec) if first else index.visits(vec, part.column("reach").to_numpy(), k)
-                taken = part.take(pa.array(q))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(pivot.astype(np.int64)), pa.array(ring.astype(np.int64))], names=[*taken.schema.names, "pivot", "ring"])
-
-    visits = queries.select("query", "vec", "reach").mapInArrow(visit, "query bigint, vec array<double>, reach double, pivot bigint, ring bigint")
-    visits = pin(visits, "knn-visits")
-    popular = visits.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / VISITS).alias("groups"))
-    parts = cells.groupBy("pivot", "ring").agg(F.max("parts").alias("parts")).join(popular, ["pivot", "ring"])
-    left = visits.join(parts, ["pivot", "ring"]).withColumn("group", F.pmod(F.xxhash64("query"), F.col("groups")))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("pivot", "ring", "part", "group", "query", "vec", "reach")
-    right = cells.join(popular, ["pivot", "ring"]).withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
-    metric = index.metric
+                vec = _matrix(part.column("query"), width, kind)
+                own = boxes.home(vec)
+                q, box = np.arange(len(vec)), own
+                if not first:
+                    q, box = boxes.reached(vec, part.column("reach").to_numpy(), metric)
+                    q, box = q[box != own[q]], box[box != own[q]]
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(q)).columns, pa.array(box.astype(np.int64))], names=[*part.schema.names, "box"])
+
+    visits = queries.select("query", "reach", F.pmod(F.xxhash64("query"), F.lit(1 << 30)).alias("draw"))
+    visits = visits.mapInArrow(visit, "query binary, reach double, draw bigint, box bigint")
+    visits = visits if first else pin(visits, "knn-visits")
+    groups = np.zeros(boxes.count, np.int64)
+    for r in visits.groupBy("box").agg(F.ceil(F.count("*") / VISITS).alias("n")).collect():
+        groups[r["box"]] = r["n"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            box = batch.column("box").to_numpy()
+            group = pa.array(batch.column("draw").to_numpy() % groups[box])
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("reach"), batch.column("box"), group], names=["query", "reach", "box", "group"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            box = boxes.home(_matrix(batch.column("vec"), width, kind))
+            many = groups[box]
+            row = np.repeat(np.arange(len(box)), many)
+            group = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(box[row].astype(np.int64)), pa.array(group)], names=[*batch.schema.names, "box", "group"])
 
     def meet(asked: pa.Table, rows: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if asked.num_rows and rows.num_rows:
-            rows = rows.sort_by([("key", "ascending"), ("label", "ascending")])
-            vec, points = _matrix(asked.column("vec"), width), _matrix(rows.column("vec"), width)
-            reach = asked.column("reach").to_numpy()
-            for at in range(0, len(vec), 256):
-                q, p, gap = _within(vec[at : at + 256], points, reach[at : at + 256], k, metric)
-                order = np.lexsort((p, gap, q))
-                q, p, gap = q[order], p[order], gap[order]
-                near = np.arange(len(q)) - np.searchsorted(q, q) < k
-                found.append((q[near] + at, p[near], gap[near]))
+            rows = rows.take(pc.sort_indices(rows, sort_keys=[("key", "ascending"), ("label", "ascending")], null_placement="at_start"))
+            leaves = Leaves(_matrix(rows.column("vec"), width, kind), metric)
+            vec, reach = _matrix(asked.column("query"), width, kind), asked.column("reach").to_numpy()
+            for at in range(0, len(vec), ROWS):
+                q, p, gap = leaves.nearest(vec[at : at + ROWS], reach[at : at + ROWS], k)
+                found.append((q + at, p, gap))
         q, p, gap = (np.concatenate(x) for x in zip(*found))
-        return pa.table({"query": asked.column("query").take(pa.array(q)), "key": rows.column("key").take(pa.array(p)), "label": rows.column("label").take(pa.array(p)), "gap": gap})
+        own, start = np.unique(q, return_index=True)
+        near = [pa.array(gap), *(rows.column(c).take(pa.array(p)).combine_chunks() for c in ("key", "label"))]
+        near = pa.StructArray.from_arrays(near, names=["gap", "key", "label"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(q)).astype(np.int32)), near)
+        return pa.table({"query": asked.column("query").take(pa.array(own)), "near": lists})
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    left = visits.mapInArrow(deal, "query binary, reach double, box bigint, group bigint")
+    right = points.select("key", "label", "vec").mapInArrow(place, f"key {kinds['key']}, label {kinds['label']}, vec binary, box bigint, group bigint")
+    met = left.groupBy("box", "group").cogroup(right.groupBy("box", "group"))
+    return met.applyInArrow(meet, f"query binary, near array<struct<gap:double,key:{kinds['key']},label:{kinds['label']}>>")
+
+
+def _kind(frames: list[DataFrame], cols: list[str]) -> str:
+    """The narrowest type that holds every value of the columns exactly."""
+    values = [F.col(c).cast("double") for c in cols]
+    largest = F.greatest(*[F.abs(v) for v in values], F.lit(0.0))
+    broken = F.lit(False)
+    for v in values:
+        broken = broken | (v != F.floor(v))
+    most = 0.0
+    for df in frames:
+        r = df.agg(F.max(largest).alias("most"), F.max(broken).alias("broken")).first()
+        most = max(most, math.inf if r["broken"] or math.isnan(r["most"] or 0.0) else r["most"] or 0.0)
+    return "int8" if most <= 127 else "int16" if most <= 32767 else "float64"
+
+
+def _pack(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
+    """Other columns of `df`, and `vec`: the columns as the bytes of one row. Rows without all of them are left out."""
+    rest = [c for c in df.columns if c not in cols]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = np.stack([batch.column(c).to_numpy() for c in cols], axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), _packed(vec, kind)], names=[*rest, "vec"])
 
-    on = ["pivot", "ring", "part", "group"]
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-    met = left.groupBy(*on).cogroup(right.select(*on, "key", "label", "vec").groupBy(*on))
-    best = W.partitionBy("query").orderBy("gap", "key", "label")
-    found = met.applyInArrow(meet, f"query bigint, key {kinds['key']}, label {kinds['label']}, gap double")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    whole = df.na.drop(subset=cols)
+    return whole.mapInArrow(pack, ", ".join([*(f"{c} {df.schema[c].dataType.simpleString()}" for c in rest), "vec binary"]))
 
 
-def _vector(cols: list[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in cols]).alias("vec")
+def _doubles(cols: list[str]) -> list[Column]:
+    return [(F.col(c).cast("double") + F.lit(0.0)).alias(f"_{i}") for i, c in enumerate(cols)]
 
 
 def _nearest(train: DataFrame, test: DataFrame, key: str, cols: list[str], label: str, k: int, metric: str) -> tuple[DataFrame, DataFrame]:
-    """(query, place, key, label, distance), and the distinct test vectors (query, vec)."""
+    """(query, place, key, label, distance), and the test rows (key, label, query); a query is a packed vector."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    vec, width = _vector(cols), len(cols)
+    width, names = len(cols), [f"_{i}" for i in range(len(cols))]
+    train, test = (df.select(F.col(key).alias("key"), F.col(label).alias("label"), *_doubles(cols)) for df in (train, test))
+    kind = _kind([train, test], names)
     copies = W.partitionBy("vec").orderBy("key", "label")
-    points = train.select(F.col(key).alias("key"), F.col(label).alias("label"), vec)
-    points = pin(points.withColumn("i", F.row_number().over(copies)).where(F.col("i") <= k).drop("i"), "knn-train")
-    index, cells = fit_index(points, width, metric)
-    asked = pin(test.select(vec).distinct().withColumn("query", F.monotonically_increasing_id()), "knn-queries")
+    points = _pack(train, names, kind).withColumn("i", F.row_number().over(copies)).where(F.col("i") <= k).drop("i")
+    points = pin(points, "knn-train")
+    boxes = fit_boxes(points, width, kind, k)
+    rows = _pack(test, names, kind).withColumnRenamed("vec", "query")
+    asked = pin(rows.select("query").distinct(), "knn-queries")
     unknown = F.lit(float("inf"))
-    near = _search(index, cells, asked.withColumn("reach", unknown), width, k, first=True)
-    distance = F.sqrt("gap") if metric == "euclidean" else F.col("gap")
-    kth = near.where(F.col("place") == k).select("query", distance.alias("kth"))
-    bounded = asked.join(kth, "query", "left").select("query", "vec", F.coalesce("kth", unknown).alias("reach"))
-    found = _search(index, cells, bounded, width, k, first=False)
-    return found.select("query", "place", "key", "label", distance.alias("distance")), asked
+    own = pin(_search(boxes, points, asked.withColumn("reach", unknown), width, kind, k, metric, first=True), "knn-own")
+    found = own
+    if boxes.count > 1:  # then every box holds k rows
+        bounded = own.select("query", F.col("near")[k - 1]["gap"].alias("reach"))
+        found = own.unionByName(_search(boxes, points, bounded, width, kind, k, metric, first=False))
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    found = found.groupBy("query").agg(near.alias("near")).select("query", F.posexplode("near").alias("place", "n"))
+    distance = F.sqrt("n.gap") if metric == "euclidean" else F.col("n.gap")
+    return found.select("query", (F.col("place") + 1).alias("place"), F.col("n.key").alias("key"), F.col("n.label").alias("label"), distance.alias("distance")), rows
 
 
 def _vote(found: DataFrame, weights: str) -> DataFrame:
@@ -250,8 +404,8 @@ def neighbours(train: DataFrame, test: DataFrame, key: str, cols: list[str], lab
     Columns must be numbers without nulls. Fewer training rows than k give all of them. Test rows that repeat
     a key have neighbours of their own.
     """
-    found, asked = _nearest(train, test, key, cols, label, k, metric)
-    rows = test.select(key, _vector(cols)).join(asked, "vec").drop("vec")
+    found, rows = _nearest(train, test, key, cols, label, k, metric)
+    rows = rows.select(F.col("key").alias(key), "query")
     named = found.select("query", "place", F.col("key").alias("near_key"), F.col("label").alias("near_label"), "distance")
     return rows.join(named, "query").drop("query")
 
@@ -260,9 +414,8 @@ def predict(
     train: DataFrame, test: DataFrame, key: str, cols: list[str], label: str, k: int = 5, metric: str = "euclidean", weights: str = "uniform"
 ) -> DataFrame:
     """Key, share of positive labels among the k nearest (ties by key) and majority for each test row."""
-    found, asked = _nearest(train, test, key, cols, label, k, metric)
-    rows = test.select(key, _vector(cols)).join(asked, "vec").drop("vec")
-    return rows.join(_vote(found, weights), "query").drop("query")
+    found, rows = _nearest(train, test, key, cols, label, k, metric)
+    return rows.select(F.col("key").alias(key), "query").join(_vote(found, weights), "query").drop("query")
 
 
 def option_scores(
@@ -271,9 +424,9 @@ def option_scores(
     """metric, weights, k, rows, hits of every combination of options: one search per metric, for the largest k."""
     out = None
     for metric in metrics:
-        found, asked = _nearest(train, test, key, cols, label, max(ks), metric)
+        found, rows = _nearest(train, test, key, cols, label, max(ks), metric)
         found = pin(found, "knn-found")
-        truth = test.select(F.col(label).alias("y"), _vector(cols)).join(asked, "vec").groupBy("query", "y").agg(F.count("*").alias("n"))
+        truth = rows.groupBy("query", F.col("label").alias("y")).agg(F.count("*").alias("n"))
         truth = pin(truth, "knn-truth")
         for w in weights:
             for k in ks:

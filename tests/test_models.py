@@ -176,3 +176,33 @@ def test_conjunctions_are_measured_on_all_rows(spark):
 def test_streams_hold_every_event(spark, sf, name):
     n = catalogue.QUERIES[name](spark, sf).agg(F.sum("n")).first()[0]
     assert n == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+@pytest.mark.parametrize("metric,scale", [("euclidean", 1), ("manhattan", 1), ("euclidean", 0.37)])
+def test_queries_visit_few_boxes(spark, monkeypatch, metric, scale):
+    """The boxes are large: visits that are shuffled stay a small multiple of the queries, and the result is exact."""
+    monkeypatch.setattr(knn, "CELL", 400)
+    monkeypatch.setattr(knn, "VISITS", 300)
+    monkeypatch.setattr(knn, "LEAF", 16)
+    draw = np.random.default_rng(7)
+    x = draw.integers(0, 50, (6600, 8)) * scale
+    x[:, 0] = x[:, 0] // 5 * 5
+    schema = f"id long, {', '.join(f'c{i} double' for i in range(8))}, y int"
+    df = spark.createDataFrame([(i, *map(float, r), i % 2) for i, r in enumerate(x)], schema)
+    train, test = df.where("id < 6000"), df.where("id >= 6000")
+    steps = {}
+    pin = knn.pin
+
+    def counted(frame, name):
+        out = pin(frame, name)
+        steps[name] = steps.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(knn, "pin", counted)
+    out = knn.neighbours(train, test, "id", [f"c{i}" for i in range(8)], "y", 5, metric)
+    got = {}
+    for r in out.orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append(r["near_key"])
+    gap = knn.gaps(x[6000:], x[:6000], metric)
+    assert got == {6000 + i: np.lexsort((np.arange(6000), g))[:5].tolist() for i, g in enumerate(gap)}
+    assert steps["knn-visits"] < 12 * 600
