@@ -135,7 +135,7 @@ def _seeded(old: list[int], new: list[int], rest: list[int], words: list[int], l
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per row: hashes and word counts of its lines that have words, and its distinct run hashes."""
     for batch in batches:
-        for first, data, offsets in T.blocks(batch.column(1)):
+        for first, data, offsets in T.blocks(batch.column(1), T.SMALL_BLOCK):
             hashes, words, at = line_table(data, offsets)
             filled = words > 0
             hashes, words = hashes[filled], words[filled]

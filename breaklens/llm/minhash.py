@@ -66,7 +66,7 @@ def set_digest(distinct: np.ndarray) -> bytes:
 
 
 def _distinct_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for first, data, offsets in T.blocks(column):
+    for first, data, offsets in T.blocks(column, T.SMALL_BLOCK):
         hashes, at = T.shingles(data, offsets)
         yield first, [np.unique(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 

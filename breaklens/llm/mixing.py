@@ -105,7 +105,7 @@ def word_sizes(docs: DataFrame, id_col: str, member_col: str, text_col: str) ->
 
     def measure(batches):
         for batch in batches:
-            for first, data, offsets in T.blocks(batch.column(2)):
+            for first, data, offsets in T.blocks(batch.column(2), T.SMALL_BLOCK):
                 part = batch.slice(first, len(offsets) - 1)
                 size = np.diff(T.word_spans(data, offsets)[2])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64())], names=["_id", "_members", "_size"])

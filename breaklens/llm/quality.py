@@ -13,10 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from breaklens.llm import text as T
 from breaklens.session import pin
@@ -98,9 +99,9 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tu
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Relative frequencies of the buckets of each text, as index and value lists."""
+    """Relative frequencies of the buckets of each text, as the struct of a sparse vector."""
     for batch in batches:
-        for first, data, offsets in T.blocks(batch.column(1)):
+        for first, data, offsets in T.blocks(batch.column(1), T.SMALL_BLOCK):
             starts, ends, at = T.word_spans(data, offsets)
             words = T.span_hashes(data, starts, ends)
             w, g, g_at = gram_buckets(data, offsets, words)
@@ -110,19 +111,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for part in (w[at[i] : at[i + 1]], g[g_at[i] : g_at[i + 1]]):
                     if len(part):
                         own, count = np.unique(part, return_counts=True)
-                        row_i.append(own.astype(np.int64))
+                        row_i.append(own.astype(np.int32))
                         row_v.append(count / len(part))
-                index.append(np.concatenate([np.zeros(0, np.int64), *row_i]))
+                index.append(np.concatenate([np.zeros(0, np.int32), *row_i]))
                 value.append(np.concatenate([np.zeros(0), *row_v]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, len(index)), batch.column(2).slice(first, len(index)), pa.array(index, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64()))],
-                names=["label", "held", "index", "value"],
-            )
-
-
-@F.udf(VectorUDT())
-def _vector(index, value):
-    return SparseVector(2 * SIZE, index, value)
+            n = len(index)
+            parts = [np.zeros(n, np.int8), np.full(n, 2 * SIZE, np.int32)]
+            parts = [*map(pa.array, parts), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))]
+            vector = pa.StructArray.from_arrays(parts, names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(2).slice(first, n), vector], names=["label", "held", "features"])
 
 
 class QualityModel:
@@ -153,8 +150,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # at most about fit_rows ids of 20 bytes are broadcast
     rows = texts.join(F.broadcast(picked.drop("draw")), "_id").select("label", "_text", "held")
-    made = pin(rows.mapInArrow(_features, "label double, held boolean, index array<bigint>, value array<double>"), "quality-fit")
-    made = made.withColumn("features", _vector("index", "value")).select("label", "held", "features")
+    # read back as vectors, so that no Python runs beside the fit
+    vectors = StructType([StructField("label", DoubleType()), StructField("held", BooleanType()), StructField("features", VectorUDT())])
+    sparse = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+    made = pin(rows.mapInArrow(_features, f"label double, held boolean, features {sparse}"), "quality-fit", vectors)
     parts = {held: made.where(F.col("held") == held) for held in (False, True)}
     counts = {(r["held"], r["label"]): r["n"] for r in made.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
     if not all((False, y) in counts for y in (0.0, 1.0)):
@@ -172,7 +171,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def _judge(batches: Iterator[pa.RecordBatch], text_at: int, model: QualityModel) -> Iterator[tuple[pa.RecordBatch, dict]]:
     for batch in batches:
-        for first, data, offsets in T.blocks(batch.column(text_at)):
+        for first, data, offsets in T.blocks(batch.column(text_at), T.SMALL_BLOCK):
             found = base_counts(data, offsets)
             found["base_failed"] = base_failed(found)
             found["quality"] = model.probability(data, offsets, found["_words"], found["_first"])

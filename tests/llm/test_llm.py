@@ -509,3 +509,31 @@ def test_pipeline_of_no_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_quality_fit_runs_no_python_beside_it(spark, sf, monkeypatch):
+    """The classifier reads vectors from the pinned file: an executor has no Python workers beside the fit."""
+    plans, fit = [], rules.LogisticRegression.fit
+
+    def seen(self, df):
+        plans.append(df.select("features")._jdf.queryExecution().toString())
+        return fit(self, df)
+
+    monkeypatch.setattr(rules.LogisticRegression, "fit", seen)
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rules.fit_quality(docs, labels)
+    assert plans and "EvalPython" not in plans[0]
+
+
+def test_stages_take_small_batches(spark, sf):
+    """No batch of a stage holds more than 1,000 rows, and a smaller setting of the session is kept."""
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.read.parquet(f"{sf}/documents.parquet")
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+            for _, stage in corpus_pipeline.STAGES[1:3]:
+                spark.conf.set(name, given)
+                stage(spark, docs.limit(20), sf)
+                assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
