@@ -1,11 +1,12 @@
 """Exact k nearest neighbours over boxes split by coordinates, without comparing all pairs.
 
 Copies are cut to their k smallest keys first: no query can use more. A bounded sample splits the space at
-medians into boxes of CELL to 2 * CELL rows. A query is first answered in its own box, which bounds its k-th
-distance; then it visits only the other boxes that the bound reaches. A box meets at most about VISITS queries
-in one group, so no popular box becomes one task. In a task the rows of a box are split again into leaves with tight bounds, and
-only leaves within the bound are compared. Boxes are large, so a query has few visits, and vectors travel as
-whole bytes where that is exact. Only the sample and the rows and queries of each box reach the driver.
+medians into boxes of CELL to 2 * CELL rows, up to WIDEN times as large where there are many. A query is first answered
+in its own box, which bounds its k-th distance; then it visits only the other boxes that the bound reaches. A box meets
+at most about VISITS queries (as many more as it is larger) in one group, so no popular box becomes one task. In a task the rows of
+a box are split again into leaves with tight bounds, and only leaves within the bound are compared. Boxes are large, so a
+query has few visits; vectors travel as whole bytes, and gaps are counted in short integers, where that is exact. Only the
+sample and the rows and queries of each box reach the driver.
 
 `Index` is an index by pivots and rings of distances, for metrics that know no coordinates; the search here has coordinates.
 """
@@ -27,8 +28,10 @@ from breaklens.session import pin
 
 CELL = 1 << 14
 VISITS = 1 << 15
+MANY, WIDEN = 256, 4  # boxes from which on they are larger, and how much at most
 LEAF = 128  # rows of a leaf, up to twice as many
-ROWS = 1024  # queries compared with a box at once
+ROWS = 1 << 13  # queries compared with a box at once
+TURNS = 4  # tasks of a search for each core
 CLOSE = 8  # leaves that bound a query's k-th distance
 SAMPLE = 16  # rows of the sample for each box
 METRICS = ("euclidean", "manhattan")
@@ -49,14 +52,24 @@ def lengths(gap: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: str) -> np.ndarray:
-    """The vectors of a column of packed rows, as doubles."""
+    """The vectors of a column of packed rows, as `kind`."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.binary())
     if not len(column):
-        return np.zeros((0, width))
+        return np.zeros((0, width), kind)
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    return data.view(kind).reshape(-1, width).astype(float)
+    return data.view(kind).reshape(-1, width)
+
+
+def _work(kind: str, width: int, metric: str) -> str:
+    """The narrowest type in which the gaps of vectors of `kind` are exact; float64 where none is."""
+    most = {"int8": 127, "int16": 32767}.get(kind)
+    if most is None:
+        return "float64"
+    if metric == "euclidean":  # sizes, products and gaps are whole numbers
+        return "float32" if 4 * most * most * width <= 1 << 24 else "float64"
+    return next((t for t in ("int16", "int32") if 2 * most * width <= np.iinfo(t).max), "float64")
 
 
 def _packed(vec: np.ndarray, kind: str) -> pa.Array:
@@ -132,7 +145,7 @@ class Boxes:
 
 def _outside(x: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
     """One column's part of the gap between rows and boxes: never above that of a row in the box, rounding included."""
-    step = np.maximum(np.maximum(low - x, x - high), 0.0)
+    step = np.maximum(np.maximum(low - x, x - high), 0)
     return step * step if metric == "euclidean" else step
 
 
@@ -194,43 +207,44 @@ def farthest(sample: np.ndarray, n: int, metric: str) -> np.ndarray:
 
 
 class Leaves:
-    """Rows of a box by leaf, with tight bounds."""
+    """Rows of a box by leaf, with tight bounds, in the type `work` of `_work`."""
 
-    def __init__(self, rows: np.ndarray, metric: str):
-        tree = Boxes(rows, LEAF)
+    def __init__(self, rows: np.ndarray, metric: str, work: str = "float64"):
+        tree = Boxes(rows.astype(float), LEAF)
         own = tree.home(rows)
-        self.metric, self.order = metric, np.argsort(own, kind="stable")
-        self.rows = rows[self.order]
+        self.metric, self.work, self.order = metric, work, np.argsort(own, kind="stable")
+        self.rows = rows[self.order].astype(work)
         self.starts = np.searchsorted(own[self.order], np.arange(tree.count + 1))
         self.low = np.minimum.reduceat(self.rows, self.starts[:-1], axis=0)
         self.high = np.maximum.reduceat(self.rows, self.starts[:-1], axis=0)
 
-    def _met(self, query: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """(positions of the pairs, first row, last row) of every leaf among pairs of a query and a leaf."""
-        by = np.argsort(leaf, kind="stable")
-        own, first = np.unique(leaf[by], return_index=True)
-        for at, some in zip(own, np.split(by, first[1:])):
-            yield some, self.starts[at], self.starts[at + 1]
+    def _met(self, leaf: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+        """(positions, first row, last row) of every leaf among ascending leaves."""
+        ends = np.searchsorted(leaf, np.arange(len(self.low) + 1))
+        for at in np.flatnonzero(np.diff(ends)):
+            yield slice(ends[at], ends[at + 1]), self.starts[at], self.starts[at + 1]
 
     def nearest(self, vec: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, gap) of up to k nearest rows within `reach` (a gap; inf: not known), ties to the first row."""
-        apart = np.zeros((len(vec), len(self.low)))
+        vec, unknown = vec.astype(self.work), np.flatnonzero(np.isinf(reach))
+        most = np.inf if np.dtype(self.work).kind == "f" else np.iinfo(self.work).max
+        reach = np.minimum(reach, most).astype(self.work)
+        apart = np.zeros((len(self.low), len(vec)), self.work)
         for d in range(vec.shape[1]):
-            apart += _outside(vec[:, d, None], self.low[None, :, d], self.high[None, :, d], self.metric)
-        open_ = np.flatnonzero(np.isinf(reach))
-        if len(open_):
-            near = min(CLOSE, apart.shape[1])
-            close = np.argpartition(apart[open_], near - 1, axis=1)[:, :near].reshape(-1)
-            query, kth = np.repeat(open_, near), np.full((len(open_) * near, k), np.inf)
-            for some, first, last in self._met(query, close):
-                gap = gaps(vec[query[some]], self.rows[first:last], self.metric)
+            apart += _outside(vec[None, :, d], self.low[:, d, None], self.high[:, d, None], self.metric)
+        if len(unknown):
+            near = min(CLOSE, len(apart))
+            close = np.argpartition(apart[:, unknown].T, near - 1, axis=1)[:, :near].reshape(-1)
+            by = np.argsort(close, kind="stable")
+            query, kth = np.repeat(unknown, near)[by], np.full((len(by), k), most, self.work)
+            for some, first, last in self._met(close[by]):
+                gap = _gaps(vec[query[some]], self.rows[first:last], self.metric)
                 width = min(k, gap.shape[1])
-                kth[some, :width] = np.partition(gap, width - 1, axis=1)[:, :width]
-            reach = reach.copy()
-            reach[open_] = np.partition(kth.reshape(len(open_), -1), k - 1, axis=1)[:, k - 1]
-        query, leaf = np.nonzero(apart <= reach[:, None])
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for some, first, last in self._met(query, leaf):
+                kth[by[some], :width] = np.partition(gap, width - 1, axis=1)[:, :width]
+            reach[unknown] = np.partition(kth.reshape(len(unknown), -1), k - 1, axis=1)[:, k - 1]
+        leaf, query = _places(apart <= reach)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.work))]
+        for some, first, last in self._met(leaf):
             own = query[some]
             q, p, gap = _within(vec[own], self.rows[first:last], reach[own], self.metric)
             found.append((own[q], self.order[p + first], gap))
@@ -238,42 +252,71 @@ class Leaves:
         by = np.lexsort((p, gap, q))
         q, p, gap = q[by], p[by], gap[by]
         first = np.arange(len(q)) - np.searchsorted(q, q) < k
-        return q[first], p[first], gap[first]
+        return q[first], p[first], gap[first].astype(float)
+
+
+def _places(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix, which takes longer."""
+    return np.divmod(np.flatnonzero(where), max(1, where.shape[1]))
+
+
+def _gaps(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """`gaps` in the type of the rows."""
+    out, step = np.zeros((len(a), len(b)), a.dtype), np.empty((len(a), len(b)), a.dtype)
+    for x, y in zip(a.T, np.ascontiguousarray(b.T)):
+        np.subtract(x[:, None], y[None, :], out=step)
+        out += np.multiply(step, step, out=step) if metric == "euclidean" else np.abs(step, out=step)
+    return out
 
 
 def _within(a: np.ndarray, b: np.ndarray, reach: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, gap) of the pairs whose gap is at most `reach`.
 
-    One matrix product finds the pairs whose euclidean distance may be within it (no distance is below that),
-    and only these get their exact gap. Rounding of the product is allowed for.
+    Euclidean ones come from one matrix product. For doubles, whose product is rounded, it finds the pairs that may be
+    within it, rounding allowed for, and only these get their exact gap. Whole numbers in float32 are not rounded.
     """
+    if metric == "manhattan":
+        gap = _gaps(b, a, metric)
+        p, q = _places(gap <= reach)
+        return q, p, gap[p, q]
     size_a, size_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    square = reach if metric == "euclidean" else reach * reach
-    limit = square + 1e-9 * (1 + square + size_a.max() + size_b.max())
-    q, p = np.nonzero(size_a[:, None] + size_b[None, :] - 2 * (a @ b.T) <= limit[:, None])
+    gap = (-2 * b) @ a.T
+    gap += size_a
+    gap += size_b[:, None]
+    if a.dtype == np.float32:
+        p, q = _places(gap <= reach)
+        return q, p, gap[p, q]
+    p, q = _places(gap <= reach + 1e-9 * (1 + reach + size_a.max() + size_b.max()))
     gap = np.zeros(len(q))
     for d in range(a.shape[1]):
         step = a[q, d] - b[p, d]
-        gap += step * step if metric == "euclidean" else np.abs(step)
+        gap += step * step
     near = gap <= reach[q]
     return q[near], p[near], gap[near]
 
 
-def fit_boxes(points: DataFrame, width: int, kind: str, k: int) -> Boxes:
-    """Boxes of rows (key, vec) from a sample of about SAMPLE rows for each CELL rows, drawn by hash."""
-    n = points.count()
-    share = min(1.0, SAMPLE * max(1, np.ceil(n / CELL)) / max(n, 1))
+def widened(n: int) -> float:
+    """How many times larger than CELL the boxes of n rows are: 1 up to MANY boxes, WIDEN at most."""
+    return min(max(1.0, n / CELL / MANY), WIDEN)
+
+
+def fit_boxes(points: DataFrame, n: int, width: int, kind: str, k: int) -> Boxes:
+    """Boxes of n rows (key, vec) from a sample of about SAMPLE rows for each box, drawn by hash."""
+    share = min(1.0, SAMPLE * max(1, np.ceil(n / CELL / widened(n))) / max(n, 1))
     draw = F.pmod(F.xxhash64("vec", "key"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
     sample = points.where(draw).select("vec").collect()
     rows = np.array([np.frombuffer(r["vec"], kind) for r in sample], float).reshape(-1, width)
     return Boxes(rows[np.lexsort(rows.T)], max(SAMPLE, k))
 
 
-def _search(boxes: Boxes, points: DataFrame, queries: DataFrame, width: int, kind: str, k: int, metric: str, first: bool) -> DataFrame:
+def _search(
+    boxes: Boxes, points: DataFrame, queries: DataFrame, most: int, width: int, kind: str, k: int, metric: str, first: bool
+) -> DataFrame:
     """(query, near) of queries (query, reach): up to k nearest rows (gap, key, label) of a visited box.
 
-    The first search visits each query's own box, the second all other boxes within `reach`.
+    The first search visits each query's own box, the second all other boxes within `reach`. A group has about `most` queries.
     """
+    work = _work(kind, width, metric)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +334,7 @@ def _search(boxes: Boxes, points: DataFrame, queries: DataFrame, width: int, kin
     visits = visits.mapInArrow(visit, "query binary, reach double, draw bigint, box bigint")
     visits = visits if first else pin(visits, "knn-visits")
     groups = np.zeros(boxes.count, np.int64)
-    for r in visits.groupBy("box").agg(F.ceil(F.count("*") / VISITS).alias("n")).collect():
+    for r in visits.groupBy("box").agg(F.ceil(F.count("*") / most).alias("n")).collect():
         groups[r["box"]] = r["n"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +355,7 @@ def _search(boxes: Boxes, points: DataFrame, queries: DataFrame, width: int, kin
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if asked.num_rows and rows.num_rows:
             rows = rows.take(pc.sort_indices(rows, sort_keys=[("key", "ascending"), ("label", "ascending")], null_placement="at_start"))
-            leaves = Leaves(_matrix(rows.column("vec"), width, kind), metric)
+            leaves = Leaves(_matrix(rows.column("vec"), width, kind), metric, work)
             vec, reach = _matrix(asked.column("query"), width, kind), asked.column("reach").to_numpy()
             for at in range(0, len(vec), ROWS):
                 q, p, gap = leaves.nearest(vec[at : at + ROWS], reach[at : at + ROWS], k)
@@ -327,6 +370,8 @@ def _search(boxes: Boxes, points: DataFrame, queries: DataFrame, width: int, kin
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     left = visits.mapInArrow(deal, "query binary, reach double, box bigint, group bigint")
     right = points.select("key", "label", "vec").mapInArrow(place, f"key {kinds['key']}, label {kinds['label']}, vec binary, box bigint, group bigint")
+    tasks = max(1, min(int(groups.sum()), TURNS * points.sparkSession.sparkContext.defaultParallelism))
+    left, right = (df.repartition(tasks, "box", "group") for df in (left, right))
     met = left.groupBy("box", "group").cogroup(right.groupBy("box", "group"))
     return met.applyInArrow(meet, f"query binary, near array<struct<gap:double,key:{kinds['key']},label:{kinds['label']}>>")
 
@@ -372,15 +417,16 @@ def _nearest(train: DataFrame, test: DataFrame, key: str, cols: list[str], label
     copies = W.partitionBy("vec").orderBy("key", "label")
     points = _pack(train, names, kind).withColumn("i", F.row_number().over(copies)).where(F.col("i") <= k).drop("i")
     points = pin(points, "knn-train")
-    boxes = fit_boxes(points, width, kind, k)
+    n = points.count()
+    boxes, most = fit_boxes(points, n, width, kind, k), int(VISITS * widened(n))
     rows = _pack(test, names, kind).withColumnRenamed("vec", "query")
     asked = pin(rows.select("query").distinct(), "knn-queries")
     unknown = F.lit(float("inf"))
-    own = pin(_search(boxes, points, asked.withColumn("reach", unknown), width, kind, k, metric, first=True), "knn-own")
+    own = pin(_search(boxes, points, asked.withColumn("reach", unknown), most, width, kind, k, metric, first=True), "knn-own")
     found = own
     if boxes.count > 1:  # then every box holds k rows
         bounded = own.select("query", F.col("near")[k - 1]["gap"].alias("reach"))
-        found = own.unionByName(_search(boxes, points, bounded, width, kind, k, metric, first=False))
+        found = own.unionByName(_search(boxes, points, bounded, most, width, kind, k, metric, first=False))
     near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
     found = found.groupBy("query").agg(near.alias("near")).select("query", F.posexplode("near").alias("place", "n"))
     distance = F.sqrt("n.gap") if metric == "euclidean" else F.col("n.gap")

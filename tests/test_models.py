@@ -206,3 +206,50 @@ def test_queries_visit_few_boxes(spark, monkeypatch, metric, scale):
     gap = knn.gaps(x[6000:], x[:6000], metric)
     assert got == {6000 + i: np.lexsort((np.arange(6000), g))[:5].tolist() for i, g in enumerate(gap)}
     assert steps["knn-visits"] < 12 * 600
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("kind,most,work", [("int8", 127, ("float32", "int16")), ("int16", 32767, ("float64", "int32")), ("float64", 99, ("float64", "float64"))])
+def test_whole_numbers_are_compared_in_short_types(monkeypatch, metric, kind, most, work):
+    """Gaps of bytes are counted in short integers, up to the largest gap there is, and are those of doubles."""
+    monkeypatch.setattr(knn, "LEAF", 16)
+    draw = np.random.default_rng(5)
+    rows, asked = (np.vstack([draw.integers(-most, most + 1, (n, 8)), np.full((1, 8), e)]).astype(kind) for n, e in ((400, -most), (50, most)))
+    rows[:40] = rows[40:80] // 2
+    assert knn._work(kind, 8, metric) == work[metric == "manhattan"]
+    leaves = knn.Leaves(rows, metric, knn._work(kind, 8, metric))
+    gap = knn.gaps(asked.astype(float), rows.astype(float), metric)
+    want = [np.lexsort((np.arange(len(rows)), g))[:5] for g in gap]
+    for reach in (np.full(len(asked), np.inf), np.sort(gap, axis=1)[:, 4], np.sort(gap, axis=1)[:, 0]):
+        q, p, found = leaves.nearest(asked, reach, 5)
+        for i, near in enumerate(want):
+            near = near[gap[i, near] <= reach[i]]
+            assert p[q == i].tolist() == near.tolist() and found[q == i].tolist() == gap[i, near].tolist()
+    far = knn.Leaves(rows[-1:], metric, knn._work(kind, 8, metric))
+    assert far.nearest(asked[-1:], np.full(1, np.inf), 5)[2].tolist() == [gap[-1, -1]]
+
+
+def test_types_hold_the_largest_gap():
+    assert knn._work("int8", 129, "manhattan") == "int16" and knn._work("int8", 130, "manhattan") == "int32"
+    assert knn._work("int8", 260, "euclidean") == "float32" and knn._work("int8", 261, "euclidean") == "float64"
+    assert knn._work("int16", 32769, "manhattan") == "int32" and knn._work("int16", 32770, "manhattan") == "float64"
+
+
+def test_many_rows_make_larger_boxes(spark, monkeypatch):
+    """Boxes grow with the rows up to a bound, so that a query visits fewer of them; the result is exact."""
+    monkeypatch.setattr(knn, "CELL", 32)
+    monkeypatch.setattr(knn, "VISITS", 64)
+    monkeypatch.setattr(knn, "LEAF", 8)
+    monkeypatch.setattr(knn, "MANY", 40)
+    assert [knn.widened(n) for n in (0, 1280, 2560, 10**9)] == [1, 1, 2, 4]
+    x = np.random.default_rng(8).integers(0, 50, (4200, 4))
+    df = spark.createDataFrame([(i, *map(float, r), i % 2) for i, r in enumerate(x)], "id long, a double, b double, c double, d double, y int")
+    counts, fit = [], knn.fit_boxes
+    monkeypatch.setattr(knn, "fit_boxes", lambda *args: counts.append(fit(*args)) or counts[-1])
+    out = knn.neighbours(df.where("id < 4000"), df.where("id >= 4000"), "id", ["a", "b", "c", "d"], "y", 5, "manhattan")
+    got = {}
+    for r in out.orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append(r["near_key"])
+    gap = knn.gaps(x[4000:], x[:4000], "manhattan")
+    assert got == {4000 + i: np.lexsort((np.arange(4000), g))[:5].tolist() for i, g in enumerate(gap)}
+    assert counts[0].count <= 4000 / 32 / 3
