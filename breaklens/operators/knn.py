@@ -32,6 +32,7 @@ MANY, WIDEN = 256, 4  # boxes from which on they are larger, and how much at mos
 LEAF = 128  # rows of a leaf, up to twice as many
 ROWS = 1 << 13  # queries compared with a box at once
 TURNS = 4  # tasks of a search for each core
+BLOCK = 16  # leaves whose common bounds are tried first
 CLOSE = 8  # leaves that bound a query's k-th distance
 SAMPLE = 16  # rows of the sample for each box
 METRICS = ("euclidean", "manhattan")
@@ -218,6 +219,25 @@ class Leaves:
         self.low = np.minimum.reduceat(self.rows, self.starts[:-1], axis=0)
         self.high = np.maximum.reduceat(self.rows, self.starts[:-1], axis=0)
 
+    def _apart(self, vec: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Gaps of all bounds to all queries."""
+        apart = np.zeros((len(low), len(vec)), self.work)
+        for d in range(vec.shape[1]):
+            apart += _outside(vec[None, :, d], low[:, d, None], high[:, d, None], self.metric)
+        return apart
+
+    def _reached(self, vec: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, query) of the leaves within `reach`, by leaf; neighbouring leaves have neighbouring numbers."""
+        first = np.arange(0, len(self.low), BLOCK)
+        near = self._apart(vec, np.minimum.reduceat(self.low, first), np.maximum.reduceat(self.high, first)) <= reach
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at, some in zip(first, near):
+            some = np.flatnonzero(some)
+            if len(some):
+                leaf, query = _places(self._apart(vec[some], self.low[at : at + BLOCK], self.high[at : at + BLOCK]) <= reach[some])
+                found.append((leaf + at, some[query]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def _met(self, leaf: np.ndarray) -> Iterator[tuple[slice, int, int]]:
         """(positions, first row, last row) of every leaf among ascending leaves."""
         ends = np.searchsorted(leaf, np.arange(len(self.low) + 1))
@@ -229,12 +249,10 @@ class Leaves:
         vec, unknown = vec.astype(self.work), np.flatnonzero(np.isinf(reach))
         most = np.inf if np.dtype(self.work).kind == "f" else np.iinfo(self.work).max
         reach = np.minimum(reach, most).astype(self.work)
-        apart = np.zeros((len(self.low), len(vec)), self.work)
-        for d in range(vec.shape[1]):
-            apart += _outside(vec[None, :, d], self.low[:, d, None], self.high[:, d, None], self.metric)
         if len(unknown):
+            apart = self._apart(vec[unknown], self.low, self.high)
             near = min(CLOSE, len(apart))
-            close = np.argpartition(apart[:, unknown].T, near - 1, axis=1)[:, :near].reshape(-1)
+            close = np.argpartition(apart.T, near - 1, axis=1)[:, :near].reshape(-1)
             by = np.argsort(close, kind="stable")
             query, kth = np.repeat(unknown, near)[by], np.full((len(by), k), most, self.work)
             for some, first, last in self._met(close[by]):
@@ -242,7 +260,7 @@ class Leaves:
                 width = min(k, gap.shape[1])
                 kth[by[some], :width] = np.partition(gap, width - 1, axis=1)[:, :width]
             reach[unknown] = np.partition(kth.reshape(len(unknown), -1), k - 1, axis=1)[:, k - 1]
-        leaf, query = _places(apart <= reach)
+        leaf, query = _places(apart <= reach) if 0 < len(vec) == len(unknown) else self._reached(vec, reach)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.work))]
         for some, first, last in self._met(leaf):
             own = query[some]
