@@ -49,9 +49,11 @@ def test_grown_trees_are_those_of_spark(spark, rows):
 
 
 @pytest.mark.parametrize("chained,oof", [(True, True), (False, True)])
-def test_chains_equal_those_fitted_one_by_one(spark, rows, chained, oof):
+def test_chains_equal_those_fitted_one_by_one(spark, rows, monkeypatch, chained, oof):
     args = (rows, ["z", "never"], "y", tree(), tree(5), 3, "fold", chained, oof)
-    mine, own = multitask._fit_staged(*args), multitask._fit_one_by_one(*args)
+    mine = multitask._fit_staged(*args)
+    monkeypatch.setattr(trees.Rows, "of", lambda *a: None)
+    own = multitask._fit_staged(*args)
     assert mine.inputs == own.inputs and mine.final_inputs == own.final_inputs
     for a, b in zip([*mine.stages, mine.final], [*own.stages, own.final]):
         assert nodes(spark, a.model) == nodes(spark, b.model)
@@ -69,9 +71,6 @@ def test_trees_grow_in_the_same_scans(spark, rows, monkeypatch):
     assert multitask.importance_matrix(rows, ["y", "z"], tree(), ["a", "b", "kind", "c"]).count() == 8
     assert len(scans) <= 4
     scans.clear()
-    multitask.fit_stack(rows, ["y", "z"], "y", tree(), tree(5), 3, "fold")
-    assert len(scans) <= 4 + 5
-    scans.clear()
     multitask.fit_chain(rows, ["y", "z"], "y", tree(), tree(5), 3, "fold")
     assert len(scans) <= 4 + 4 + 5
 
@@ -98,17 +97,16 @@ def test_other_rows_are_left_to_spark(rows):
     assert coded(rows, [DecisionTreeClassifier(impurity="entropy")]) is None
 
 
-def test_many_rows_are_sampled_by_training_set(spark):
-    """Candidate splits of a training set come from as many rows as Spark ML takes, also of a small one."""
-    df = spark.range(60000).select("id", F.hash("id").cast("double").alias("a"), (F.hash("id") > 0).cast("int").alias("y"), (F.col("id") % 50 == 0).cast("int").alias("fold"))
+def test_samples_are_those_of_spark(spark):
+    """Candidate splits of many rows come from a sample by training set, the same as Spark ML draws."""
+    df = spark.range(0, 40000, 1, 4).selectExpr("id", "hash(id) / 1e6 AS a", "cast(hash(id) % 7 + id % 3 > 0 AS int) AS y", "cast(id % 50 = 0 AS int) AS fold")
     df = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
-    held = trees.Rows.of(df, vector_to_array("features"), {}, {"y": F.col("y")}, [tree()], F.col("fold"), 2)
-    assert held.size == {None: 60000, 0: 1200, 1: 58800}
-    assert (held.sample_fold == 1).sum() == 1200  # all rows of the set without fold 0
-    assert 8000 < len(held.sample) < 14000
-    assert all(29 <= len(held.cuts[f][0]) <= 33 for f in held.cuts)
-    ask = trees.Ask(tree(1), "y", (0,))
-    assert sum(held.grow([ask])[0].counts[1]) == 60000
+    asks = [trees.Ask(tree(3), "y", (0,), f) for f in (None, 0, 1)]
+    held = trees.Rows.of(df, vector_to_array("features"), {}, {"y": F.col("y")}, [tree(3)], F.col("fold"), 2)
+    assert held.size == {None: 40000, 0: 800, 1: 39200} and (held.owner == 0).sum() == 800 and 8000 < (held.owner == 1).sum() < 12000
+    for ask, got in zip(asks, held.grow(asks)):
+        own = models.fit("tree", ask.est, df if ask.without is None else df.where(F.col("fold") != ask.without), "y")
+        assert nodes(spark, held.model(ask, got)) == nodes(spark, own.model)
 
 
 @pytest.fixture(scope="module")
